@@ -1,19 +0,0 @@
-from caseflow.functions.columns import (
-    aged,
-    as_of_column,
-    case_suffix,
-    exact_avg,
-    lookup,
-    standard_columns,
-    within_limit,
-)
-
-__all__ = [
-    "aged",
-    "as_of_column",
-    "case_suffix",
-    "exact_avg",
-    "lookup",
-    "standard_columns",
-    "within_limit",
-]

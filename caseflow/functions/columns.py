@@ -7,13 +7,9 @@ from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DataType
 
 from caseflow.functions.constants import CASE_PREFIX_LENGTH
 
-SECONDS_PER_DAY = 86_400
-SECONDS_PER_HOUR = 3_600
-
 
 def lookup(table: Mapping[str, Any], key: Column) -> Column:
     """Value of ``key`` in a small fixed table, NULL if absent.
@@ -55,24 +51,6 @@ def as_of_column(as_of: datetime | str | None) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def aged(stored: Column, stored_type: DataType, unit_seconds: int, as_of: Column) -> Column:
-    """Time in the step: elapsed so far if it is open, else the stored value.
-
-    Elapsed time is cut to hundredths of the unit. Integer division truncates
-    toward zero, also for a ``date_in`` after ``as_of``.
-    """
-    seconds = F.timestamp_diff("SECOND", F.col("date_in"), as_of)
-    hundredths = F.call_function("div", seconds * F.lit(100), F.lit(unit_seconds))
-    elapsed = hundredths.cast("decimal(16,0)") * F.lit("0.01").cast("decimal(2,2)")
-    is_open = F.col("date_out").isNull() & F.col("date_in").isNotNull()
-    return F.when(is_open, elapsed.cast(stored_type)).otherwise(stored)
-
-
-def exact_avg(value: Column) -> Column:
-    """Average as exact decimal sum over count: independent of row order."""
-    return F.try_divide(F.sum(value).cast("double"), F.count(value).cast("double"))
-
-
 def case_suffix(case_number: Column) -> Column:
     """Number behind the case prefix; NULL if it is not a number."""
     return F.substring(case_number, CASE_PREFIX_LENGTH + 1, 2**31 - 1).try_cast("bigint")

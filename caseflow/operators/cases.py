@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from caseflow.functions.columns import within_limit
 from caseflow.functions.constants import COMPLETED, ON_TIME_LIMITS
+from caseflow.functions.units import DurationUnits
+from caseflow.operators.durations import totals_by_case
 from caseflow.operators.scope import one_case
 
 Limits = Mapping[str, tuple[str, int]]
@@ -18,13 +20,14 @@ def _detail(steps: DataFrame, asap: str | None, compat: bool) -> DataFrame:
     # well-formed data is one row per case; only these merged rows enter the
     # window that adds up the few tuples of a case.
     is_open = F.col("date_out").isNull()
+    days = DurationUnits.of_days(steps)
     tuples = one_case(steps, asap).groupBy("case_number", "case_status", "case_created").agg(
         F.count(F.when(is_open, F.col("step_name"))).alias("open_named"),
         F.count(F.when(~is_open, F.col("step_name"))).alias("done_named"),
         F.count(F.when(is_open, 1)).alias("open_rows"),
         F.sum("total_cycle_time").alias("total_sum"),
         F.count("total_cycle_time").alias("total_count"),
-        F.sum("cycle_days").alias("days_sum"),
+        F.sum(days.stored()).alias("days_sum"),
         F.count("cycle_days").alias("days_count"),
         F.max(F.when(F.col("case_status") == COMPLETED, F.col("date_out"))).alias("last_out"),
     )
@@ -45,7 +48,7 @@ def _detail(steps: DataFrame, asap: str | None, compat: bool) -> DataFrame:
             "total_cycle_time"
         ),
         F.try_divide(
-            case_sum("days_sum").cast("double"), case_sum("days_count").cast("double")
+            days.value(case_sum("days_sum")), case_sum("days_count").cast("double")
         ).alias("avg_cycle_time"),
         F.col("case_status").alias("is_active"),
         F.col("case_created").alias("date_start"),
@@ -85,41 +88,42 @@ def asap_detail(steps: DataFrame, asap: str | None = None) -> DataFrame:
 
 def user_time(steps: DataFrame, asap: str | None = None) -> DataFrame:
     """Stored days summed by case and user; visits without stored days are left out."""
-    visits = one_case(steps, asap).where(F.col("cycle_days").isNotNull())
-    return visits.groupBy("case_number", "assigned_to").agg(
-        F.sum("cycle_days").cast("double").alias("user_time")
-    ).select(
+    return totals_by_case(steps, "assigned_to", asap).select(
         F.col("assigned_to").alias("asap_user"),
-        "user_time",
+        F.col("total_days").alias("user_time"),
         F.col("case_number").alias("asap"),
     )
 
 
 def completed_steps(steps: DataFrame) -> DataFrame:
-    """Number of distinct finished steps per case and creation date."""
+    """Number of distinct finished steps per case and creation date.
+
+    Steps are made distinct first, with keys that spread a large case. What is
+    left is gathered by case alone, so that a join on the case needs no further
+    shuffle.
+    """
     finished = steps.where(F.col("date_out").isNotNull())
-    return finished.groupBy("case_number", "case_created").agg(
-        F.count_distinct("step_name").alias("completedsteps")
+    return (
+        finished.select("case_number", "case_created", "step_name")
+        .distinct()
+        .repartition("case_number")
+        .groupBy("case_number", "case_created")
+        .agg(F.count("step_name").alias("completedsteps"))
     )
 
 
-def _step_times(steps: DataFrame) -> DataFrame:
-    return steps.groupBy("case_number", "step_name").agg(F.sum("cycle_days").alias("steptime"))
-
-
-def _step_standards(steps: DataFrame, limits: Limits) -> DataFrame:
-    within = within_limit(limits, F.col("step_name"), F.col("steptime"))
-    return _step_times(steps).select("*", within.alias("withinstandards"))
-
-
 def step_times(steps: DataFrame) -> DataFrame:
     """Stored days summed by case and step."""
-    return _step_times(steps).withColumn("steptime", F.col("steptime").cast("double"))
+    days = DurationUnits.of_days(steps)
+    return steps.groupBy("case_number", "step_name").agg(
+        days.value(F.sum(days.stored())).alias("steptime")
+    )
 
 
 def step_standards(steps: DataFrame, limits: Limits = ON_TIME_LIMITS) -> DataFrame:
     """Days by case and step with 1 if they meet the step's on-time limit, else 0."""
-    return _step_standards(steps, limits).withColumn("steptime", F.col("steptime").cast("double"))
+    within = within_limit(limits, F.col("step_name"), F.col("steptime"))
+    return step_times(steps).select("*", within.alias("withinstandards"))
 
 
 def case_on_time_summary(steps: DataFrame, limits: Limits = ON_TIME_LIMITS) -> DataFrame:
@@ -128,7 +132,7 @@ def case_on_time_summary(steps: DataFrame, limits: Limits = ON_TIME_LIMITS) -> D
     Steps are summed to one row per case before the join, so it joins at most
     one row per case with the case's creation dates.
     """
-    on_time = _step_standards(steps, limits).groupBy("case_number").agg(
+    on_time = step_standards(steps, limits).groupBy("case_number").agg(
         F.sum("withinstandards").alias("ontimesteps")
     )
     return on_time.join(completed_steps(steps), "case_number", "left").select(

@@ -5,45 +5,30 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from caseflow.functions.columns import (
-    SECONDS_PER_DAY,
-    SECONDS_PER_HOUR,
-    aged,
-    as_of_column,
-    exact_avg,
-    standard_columns,
-)
+from pyspark.sql import DataFrame, functions as F
+
+from caseflow.functions.columns import as_of_column, standard_columns
 from caseflow.functions.constants import (
     DETAIL_STEP_STANDARDS,
     OUTLIER_DAYS,
     ROLE_STANDARDS,
     STEP_STANDARDS,
 )
+from caseflow.functions.units import DurationUnits
 from caseflow.operators.scope import Scope, dated_steps, one_case, scoped_steps
 
 Standards = Mapping[str, tuple[int, int]]
 AsOf = datetime | str | None
 
 
-def aged_days(steps: DataFrame, as_of: AsOf) -> Column:
-    """``days`` of a visit: elapsed until ``as_of`` if open, else ``cycle_days``."""
-    stored_type = steps.schema["cycle_days"].dataType
-    days = aged(F.col("cycle_days"), stored_type, SECONDS_PER_DAY, as_of_column(as_of))
-    return days.alias("days")
-
-
-def aged_hours(steps: DataFrame, as_of: AsOf) -> Column:
-    """``hours`` of a visit: elapsed until ``as_of`` if open, else ``cycle_hours``."""
-    stored_type = steps.schema["cycle_hours"].dataType
-    hours = aged(F.col("cycle_hours"), stored_type, SECONDS_PER_HOUR, as_of_column(as_of))
-    return hours.alias("hours")
-
-
 def effective_durations(steps: DataFrame, as_of: AsOf = None) -> DataFrame:
     """Step visits with ``days`` and ``hours``, open ones aged until ``as_of``."""
-    return steps.select("*", aged_days(steps, as_of), aged_hours(steps, as_of))
+    moment = as_of_column(as_of)
+    return steps.select(
+        "*",
+        DurationUnits.of_days(steps).aged_decimal(moment).alias("days"),
+        DurationUnits.of_hours(steps).aged_decimal(moment).alias("hours"),
+    )
 
 
 def duration_stats(
@@ -54,20 +39,24 @@ def duration_stats(
     Partial aggregation leaves one row per name and input partition, so a name
     holding most rows costs no more in the shuffle than any other.
     """
-    visits = steps.where(F.col(key).isNotNull())
-    stats = visits.select(F.col(key).alias("name"), aged_days(steps, as_of)).groupBy("name").agg(
-        exact_avg(F.col("days")).alias("average_duration"),
-        F.min("days").cast("double").alias("min"),
-        F.max("days").cast("double").alias("max"),
+    days = DurationUnits.of_days(steps)
+    visits = steps.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("name"), days.aged(as_of_column(as_of)).alias("units")
+    )
+    stats = visits.groupBy("name").agg(
+        days.average(F.col("units")).alias("average_duration"),
+        days.value(F.min("units")).alias("min"),
+        days.value(F.max("units")).alias("max"),
     )
     return stats.select("*", *standard_columns(standards, F.col("name")))
 
 
 def totals_by_case(steps: DataFrame, key: str, asap: str | None = None) -> DataFrame:
     """Stored days summed by case and ``key``; visits without stored days are left out."""
+    days = DurationUnits.of_days(steps)
     visits = one_case(steps, asap).where(F.col("cycle_days").isNotNull())
     return visits.groupBy("case_number", key).agg(
-        F.sum("cycle_days").cast("double").alias("total_days")
+        days.value(F.sum(days.stored())).alias("total_days")
     )
 
 
@@ -161,6 +150,9 @@ def detail_step(
     standards: Standards = DETAIL_STEP_STANDARDS,
 ) -> DataFrame:
     """As :func:`detail_role` by step, without visits of 1000 days or more."""
-    visits = dated_steps(steps, scope).where(aged_days(steps, as_of) < OUTLIER_DAYS)
+    days = DurationUnits.of_days(steps)
+    visits = dated_steps(steps, scope).where(
+        days.aged(as_of_column(as_of)) < OUTLIER_DAYS * days.per_whole
+    )
     stats = duration_stats(visits, "step_name", standards, as_of)
     return _beside_totals(stats, steps, "step_name", asap)

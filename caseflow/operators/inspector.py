@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from caseflow.functions.columns import case_suffix, lookup, standard_columns
+from caseflow.functions.columns import as_of_column, case_suffix, lookup, standard_columns
 from caseflow.functions.constants import (
     CASE_TOTAL_MAX,
     CASE_TOTAL_MIN,
@@ -18,33 +18,21 @@ from caseflow.functions.constants import (
     TOTAL_LEGEND,
     TOTAL_LEGEND_TITLE,
 )
-from caseflow.operators.durations import AsOf, aged_days
+from caseflow.functions.units import DurationUnits
+from caseflow.operators.durations import AsOf
 from caseflow.operators.scope import Scope, scoped_steps
 
-COLUMNS = (
-    "is_active",
-    "total_time",
-    "total_min",
-    "total_max",
-    "asap",
-    "name",
-    "color",
-    "duration_days",
-    "type",
-    "standard_min",
-    "standard_max",
-)
-
 
-def case_totals(steps: DataFrame, as_of: AsOf = None) -> DataFrame:
-    """Days of the whole case, without outlier cases."""
-    totals = steps.select("case_number", aged_days(steps, as_of)).groupBy("case_number").agg(
-        F.sum("days").alias("total_time")
+def _case_units(steps: DataFrame, days: DurationUnits, as_of: AsOf) -> DataFrame:
+    # Units of the whole case, also of its visits out of scope.
+    totals = steps.groupBy("case_number").agg(
+        F.sum(days.aged(as_of_column(as_of))).alias("total_units")
     )
-    return totals.where(F.col("total_time") < OUTLIER_DAYS)
+    return totals.where(F.col("total_units") < OUTLIER_DAYS * days.per_whole)
 
 
 def _activity(steps: DataFrame, scope: Scope, as_of: AsOf) -> DataFrame:
+    days = DurationUnits.of_days(steps)
     # Each visit counts once for its role and once for its step: both halves
     # come from one scan and one shuffle.
     halves = F.array(
@@ -53,19 +41,23 @@ def _activity(steps: DataFrame, scope: Scope, as_of: AsOf) -> DataFrame:
     )
     durations = (
         scoped_steps(steps, scope)
-        .select("case_number", "case_status", aged_days(steps, as_of), F.inline(halves))
+        .select(
+            "case_number",
+            "case_status",
+            days.aged(as_of_column(as_of)).alias("units"),
+            F.inline(halves),
+        )
         .groupBy("case_number", "type", "name", "case_status")
-        .agg(F.sum("days").alias("duration_days"))
+        .agg(F.sum("units").alias("units"))
     )
-    # The total is that of the whole case, also of its visits out of scope.
-    rows = durations.join(case_totals(steps, as_of), "case_number")
+    rows = durations.join(_case_units(steps, days, as_of), "case_number")
     name = F.col("name")
     is_role = F.col("type") == "Role"
     role_min, role_max = standard_columns(INSPECTOR_ROLE_STANDARDS, name)
     step_min, step_max = standard_columns(DETAIL_STEP_STANDARDS, name)
     return rows.select(
         F.col("case_status").alias("is_active"),
-        F.col("total_time").cast("double").alias("total_time"),
+        days.value(F.col("total_units")).alias("total_time"),
         F.lit(CASE_TOTAL_MIN).alias("total_min"),
         F.lit(CASE_TOTAL_MAX).alias("total_max"),
         F.col("case_number").alias("asap"),
@@ -73,7 +65,7 @@ def _activity(steps: DataFrame, scope: Scope, as_of: AsOf) -> DataFrame:
         F.when(is_role, lookup(ROLE_COLORS, name))
         .otherwise(lookup(STEP_COLORS, name))
         .alias("color"),
-        F.col("duration_days").cast("double").alias("duration_days"),
+        days.value(F.col("units")).alias("duration_days"),
         "type",
         F.when(is_role, role_min).otherwise(step_min).alias("standard_min"),
         F.when(is_role, role_max).otherwise(step_max).alias("standard_max"),

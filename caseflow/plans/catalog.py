@@ -68,15 +68,11 @@ def _flat_legend(rows: DataFrame) -> DataFrame:
     )
 
 
-def _on(vocabulary: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return operator(from_star_schema(spark, sf_dir, vocabulary))
+Operator = Callable[[DataFrame], DataFrame]
 
-    return query
 
-
-def catalog() -> dict[str, Query]:
-    """Name -> callable of (session, directory of the tables)."""
+def operators() -> dict[str, tuple[str, Operator]]:
+    """Name -> (step vocabulary, function of ``case_steps``)."""
     with_scope: dict[str, tuple[str, Callable[..., DataFrame]]] = {
         "scoped_steps": (NUMBERED, lambda s, scope: _plain_numbers(scopes.scoped_steps(s, scope))),
         "hero_total_requests": (NUMBERED, hero.hero_total_requests),
@@ -105,7 +101,7 @@ def catalog() -> dict[str, Query]:
         "sankey_nodes": (BUSINESS, sankey.sankey_nodes),
         "sankey_links": (BUSINESS, sankey.sankey_links),
     }
-    without_scope: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
+    without_scope: dict[str, tuple[str, Operator]] = {
         "effective_durations": (
             NUMBERED,
             lambda s: _plain_numbers(durations.effective_durations(s, AS_OF)),
@@ -130,10 +126,17 @@ def catalog() -> dict[str, Query]:
             lambda s: _flat_legend(inspector.activity_legend_nested(s)),
         ),
     }
-    found: dict[str, Query] = {}
+    found: dict[str, tuple[str, Operator]] = {}
     for name, (vocabulary, operator) in with_scope.items():
-        found[name] = _on(vocabulary, partial(operator, scope=EVERYTHING))
-        found[f"{name}_scoped"] = _on(vocabulary, partial(operator, scope=SCOPED))
-    for name, (vocabulary, operator) in without_scope.items():
-        found[name] = _on(vocabulary, operator)
-    return found
+        found[name] = (vocabulary, partial(operator, scope=EVERYTHING))
+        found[f"{name}_scoped"] = (vocabulary, partial(operator, scope=SCOPED))
+    return {**found, **without_scope}
+
+
+def catalog() -> dict[str, Query]:
+    """Name -> callable of (session, directory of the tables)."""
+
+    def query(vocabulary: str, operator: Operator) -> Query:
+        return lambda spark, sf_dir: operator(from_star_schema(spark, sf_dir, vocabulary))
+
+    return {name: query(*entry) for name, entry in operators().items()}

@@ -8,7 +8,10 @@ SETTINGS = {
     # Timestamps are stored without a zone; pin the zone so nothing shifts.
     "spark.sql.session.timeZone": "UTC",
     # Joins carry no broadcast hint: the engine picks a broadcast when the
-    # measured side is small and splits skewed partitions when it is not.
+    # measured side is small and splits skewed partitions when it is not. File
+    # sizes are compressed, so before any measurement only 1 MB counts as small.
+    "spark.sql.autoBroadcastJoinThreshold": "1MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

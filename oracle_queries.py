@@ -61,15 +61,9 @@ BUSINESS_STEP = (
 )
 
 
-def _steps(step_name: str) -> str:
-    """CTEs ``s`` (case_steps) and ``d`` (with aged days and hours)."""
-
-    def elapsed(unit: int) -> str:
-        seconds = f"date_diff('second', date_in, {AS_OF})"
-        return f"CAST(CAST(({seconds} * 100) // {unit} AS DECIMAL(16,0)) * 0.01 AS DECIMAL(18,2))"
-
-    is_open = "date_out IS NULL AND date_in IS NOT NULL"
-    return f"""WITH s AS (
+def _star(step_name: str) -> str:
+    """``case_steps`` over the star schema."""
+    return f"""
   SELECT concat('Ticket ', CAST(o_orderkey AS VARCHAR)) AS case_number,
     ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS step_id,
     {step_name} AS step_name,
@@ -92,13 +86,24 @@ def _steps(step_name: str) -> str:
          ELSE CAST(floor(o_totalprice / 1000) AS DOUBLE) END AS total_cycle_time,
     CASE WHEN c_nationkey % 7 = 0 THEN NULL
          ELSE concat('Org ', CAST(c_nationkey % 7 AS VARCHAR)) END AS org_code
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
+
+
+def with_steps(case_steps: str, sql: str) -> str:
+    """``sql`` over the CTEs ``s`` (case_steps) and ``d`` (with aged days and hours)."""
+
+    def elapsed(unit: int) -> str:
+        seconds = f"date_diff('second', date_in, {AS_OF})"
+        return f"CAST(CAST(({seconds} * 100) // {unit} AS DECIMAL(16,0)) * 0.01 AS DECIMAL(18,2))"
+
+    is_open = "date_out IS NULL AND date_in IS NOT NULL"
+    return f"""WITH s AS ({case_steps}
 ), d AS (
   SELECT *, CASE WHEN {is_open} THEN {elapsed(86400)} ELSE cycle_days END AS days,
     CASE WHEN {is_open} THEN {elapsed(3600)} ELSE cycle_hours END AS hours
   FROM s
 )
-"""
+{sql}"""
 
 
 FACT_COLUMNS = """case_number, step_id, step_name, role, assigned_to, action_name, date_in, date_out,
@@ -342,8 +347,8 @@ def _with_scope(dates: str, orgs: str, compat_orgs: str) -> tuple[dict, dict]:
     return numbered, business
 
 
-def oracle() -> dict[str, str]:
-    """SQL by catalog name."""
+def queries_by_vocabulary() -> tuple[dict[str, str], dict[str, str]]:
+    """SQL over ``s`` and ``d`` by catalog name: numbered and business step names."""
     numbered: dict[str, str] = {
         "effective_durations": f"""
 SELECT {FACT_COLUMNS}, CAST(days AS DOUBLE) AS days, CAST(hours AS DOUBLE) AS hours FROM d""",
@@ -385,7 +390,13 @@ SELECT case_number AS asap,
         first, second = _with_scope(*scope, compat)
         numbered.update({name + suffix: sql for name, sql in first.items()})
         business.update({name + suffix: sql for name, sql in second.items()})
+    return numbered, business
+
+
+def oracle() -> dict[str, str]:
+    """SQL over the star schema tables by catalog name."""
+    numbered, business = queries_by_vocabulary()
     return {
-        **{name: _steps(NUMBERED_STEP) + sql for name, sql in numbered.items()},
-        **{name: _steps(BUSINESS_STEP) + sql for name, sql in business.items()},
+        **{name: with_steps(_star(NUMBERED_STEP), sql) for name, sql in numbered.items()},
+        **{name: with_steps(_star(BUSINESS_STEP), sql) for name, sql in business.items()},
     }
