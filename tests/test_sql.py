@@ -1,0 +1,149 @@
+"""Every operator against DuckDB: over the tables, the hand-written rows and skewed rows."""
+
+import duckdb
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import oracle_queries
+from caseflow.plans.catalog import catalog, operators
+from caseflow.schema import CASE_STEPS
+from caseflow.sources.star_schema import BUSINESS
+from check import connect, difference
+from hand_rows import business_rows, numbered_rows
+
+TABLES = "/root/testdata/sf0.001"
+NAMES = sorted(operators())
+
+
+@pytest.fixture(scope="module")
+def tables():
+    return connect(TABLES)
+
+
+def test_every_query_has_sql():
+    assert sorted(oracle_queries.oracle()) == NAMES == sorted(catalog())
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_over_the_tables(spark, tables, name):
+    count, problem = difference(
+        catalog()[name](spark, TABLES), tables, oracle_queries.oracle()[name]
+    )
+    assert not problem
+    assert count > 0
+
+
+def both_engines(rows, spark):
+    """The same rows as Spark frame and as DuckDB table ``rows``."""
+    columns = [field.name for field in CASE_STEPS]
+    table = pa.table(
+        {name: [row[i] for row in rows] for i, name in enumerate(columns)},
+        schema=pa.schema(
+            [
+                ("case_number", pa.string()),
+                ("step_id", pa.int64()),
+                ("step_name", pa.string()),
+                ("role", pa.string()),
+                ("assigned_to", pa.string()),
+                ("action_name", pa.string()),
+                ("date_in", pa.timestamp("us")),
+                ("date_out", pa.timestamp("us")),
+                ("cycle_days", pa.decimal128(18, 2)),
+                ("cycle_hours", pa.decimal128(18, 2)),
+                ("case_created", pa.timestamp("us")),
+                ("case_status", pa.string()),
+                ("total_cycle_time", pa.float64()),
+                ("org_code", pa.string()),
+            ]
+        ),
+    )
+    connection = duckdb.connect()
+    connection.register("rows", table)
+    return spark.createDataFrame(rows, CASE_STEPS), connection
+
+
+@pytest.fixture(scope="module")
+def by_vocabulary(spark):
+    return {
+        vocabulary == BUSINESS: both_engines(rows, spark)
+        for vocabulary, rows in (("", numbered_rows()), (BUSINESS, business_rows()))
+    }
+
+
+def compare(name, frame, connection):
+    numbered, business = oracle_queries.queries_by_vocabulary()
+    sql = oracle_queries.with_steps("SELECT * FROM rows", {**numbered, **business}[name])
+    return difference(operators()[name][1](frame), connection, sql)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_over_hand_written_rows(by_vocabulary, name):
+    frame, connection = by_vocabulary[operators()[name][0] == BUSINESS]
+    assert compare(name, frame, connection)[1] == ""
+
+
+@pytest.fixture(scope="module")
+def skewed(spark, tmp_path_factory):
+    """6000 visits: a third in one case, a third with one step id, NULLs everywhere."""
+    step_names = F.array(
+        *(
+            F.lit(name)
+            for name in (
+                "Submitted",
+                "Manpower Review",
+                "Step Display Name 1",
+                "Step Display Name 2",
+                "Classification Review",
+                None,
+            )
+        )
+    )
+
+    def pick(salt, size):
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(size))
+
+    def maybe(value, salt):
+        return F.when(pick(salt, 9) > 0, value)
+
+    created = F.lit("1996-01-01").cast("timestamp_ntz") + F.make_dt_interval(
+        pick("created", 2500).cast("int")
+    )
+    entered = created + F.make_dt_interval(F.lit(0), pick("in", 5000).cast("int"))
+    finished = pick("open", 3) > 0
+    rows = spark.range(6000).select(
+        F.when(pick("case", 3) == 0, "Ticket 7")
+        .otherwise(F.concat(F.lit("Ticket "), pick("cases", 900).cast("string")))
+        .alias("case_number"),
+        F.when(pick("hot id", 3) == 0, F.lit(5)).otherwise(F.col("id")).alias("step_id"),
+        F.when(pick("hot step", 3) == 0, "Submitted")
+        .otherwise(F.get(step_names, pick("step", 6).cast("int")))
+        .alias("step_name"),
+        maybe(F.concat(F.lit("Role "), pick("role", 6).cast("string")), "no role").alias("role"),
+        maybe(F.concat(F.lit("User "), pick("user", 40).cast("string")), "u").alias("assigned_to"),
+        maybe(F.lit("Approve"), "action").alias("action_name"),
+        maybe(entered, "no in").alias("date_in"),
+        F.when(finished, entered + F.make_dt_interval(pick("length", 30).cast("int"))).alias(
+            "date_out"
+        ),
+        F.when(finished, maybe(pick("days", 900) / 100, "no days"))
+        .cast("decimal(18,2)")
+        .alias("cycle_days"),
+        F.when(finished, pick("hours", 900) / 4).cast("decimal(18,2)").alias("cycle_hours"),
+        created.alias("case_created"),
+        maybe(F.when(pick("status", 2) == 0, "Active").otherwise("Completed"), "s").alias(
+            "case_status"
+        ),
+        maybe(pick("total", 300).cast("double"), "no total").alias("total_cycle_time"),
+        maybe(F.concat(F.lit("Org "), (pick("org", 3) + 1).cast("string")), "o").alias("org_code"),
+    )
+    path = str(tmp_path_factory.mktemp("skewed") / "rows")
+    rows.write.parquet(path)
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW rows AS SELECT * FROM '{path}/*.parquet'")
+    return spark.read.schema(CASE_STEPS).parquet(path), connection
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_over_skewed_rows(skewed, name):
+    assert compare(name, *skewed)[1] == ""
