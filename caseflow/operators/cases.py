@@ -73,9 +73,15 @@ def detail_hero_compat(steps: DataFrame, asap: str | None = None) -> DataFrame:
 
 
 def asap_detail(steps: DataFrame, asap: str | None = None) -> DataFrame:
-    """Timeline of a case, ordered by time; of all cases, without an order."""
+    """Timeline of a case, ordered by time; of all cases, without an order.
+
+    Visits at the same moment follow their step id, so that the order is fixed
+    and one frequent moment does not have to be sorted by one task.
+    """
     visits = one_case(steps, asap).where(F.col("date_in").isNotNull())
-    timeline = visits.select(
+    if asap is not None:
+        visits = visits.orderBy("date_in", "step_id")
+    return visits.select(
         "case_number",
         F.col("date_in").alias("action_time"),
         F.col("assigned_to").alias("user"),
@@ -83,7 +89,6 @@ def asap_detail(steps: DataFrame, asap: str | None = None) -> DataFrame:
         "step_name",
         "action_name",
     )
-    return timeline if asap is None else timeline.orderBy("action_time")
 
 
 def user_time(steps: DataFrame, asap: str | None = None) -> DataFrame:

@@ -73,9 +73,13 @@ def _activity(steps: DataFrame, scope: Scope, as_of: AsOf) -> DataFrame:
 
 
 def inspector_rows(steps: DataFrame, scope: Scope = Scope(), as_of: AsOf = None) -> DataFrame:
-    """One row per case and role and per case and step, ordered by case and name."""
+    """One row per case and role and per case and step, ordered by case number and name.
+
+    Cases without a number come last. Equal places are ordered by case and type,
+    so that many such cases still sort in many tasks.
+    """
     return _activity(steps, scope, as_of).orderBy(
-        F.asc_nulls_last(case_suffix(F.col("asap"))), F.asc_nulls_last("name")
+        F.asc_nulls_last(case_suffix(F.col("asap"))), F.asc_nulls_last("name"), "asap", "type"
     )
 
 

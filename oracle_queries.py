@@ -1,8 +1,7 @@
 """The catalog's queries as DuckDB SQL over the same parquet tables.
 
-Written from the meaning of each report, join by join, and not from the Spark
-plans: where the Spark side merges scans or replaces joins, the SQL here keeps
-the plain form.
+Written from the meaning of each report and not from the Spark plans, so the two
+sides check each other.
 """
 
 from __future__ import annotations
@@ -128,10 +127,8 @@ def _case_sums(key: str) -> str:
 
 def _detail(key: str, condition: str, standards: Mapping) -> str:
     return f"""
-SELECT a.name, a.average_duration, a."min", a."max", a.standard_min, a.standard_max,
-  b.total AS avg_time
-FROM ({_stats(key, condition, standards)}) a
-LEFT JOIN ({_case_sums(key)}) b ON a.name = b.name"""
+SELECT name, average_duration, "min", "max", standard_min, standard_max, total AS avg_time
+FROM ({_stats(key, condition, standards)}) LEFT JOIN ({_case_sums(key)}) USING (name)"""
 
 
 def _count_cases(metric: str, condition: str) -> str:
@@ -169,13 +166,13 @@ def _inspector_half(kind: str, key: str, where: str, colors: Mapping, standards:
   SELECT is_active, total_time, {C.CASE_TOTAL_MIN} AS total_min, {C.CASE_TOTAL_MAX} AS total_max,
     asap, name, color, duration_days, '{kind}' AS type, standard_min, standard_max
   FROM (
-    SELECT d.case_status AS is_active, CAST(t.total_time AS DOUBLE) AS total_time,
-      d.case_number AS asap, d.{key} AS name, CAST(SUM(d.days) AS DOUBLE) AS duration_days
-    FROM d LEFT JOIN (
-      SELECT case_number, SUM(days) AS total_time FROM d GROUP BY case_number
-    ) t ON d.case_number = t.case_number
-    WHERE {where} AND t.total_time < {C.OUTLIER_DAYS}
-    GROUP BY d.case_number, d.{key}, d.case_status, t.total_time
+    SELECT case_status AS is_active, CAST(whole AS DOUBLE) AS total_time, case_number AS asap,
+      {key} AS name, CAST(SUM(days) AS DOUBLE) AS duration_days
+    FROM d JOIN (
+      SELECT case_number, SUM(days) AS whole FROM d
+      GROUP BY case_number HAVING SUM(days) < {C.OUTLIER_DAYS}
+    ) USING (case_number)
+    WHERE {where} GROUP BY ALL
   )
   LEFT JOIN {_colors(colors)} ON name = col_name
   LEFT JOIN {_standards(standards)} ON name = std_name"""
@@ -216,9 +213,9 @@ def _latest(where: str) -> str:
 
 def _completed(where: str) -> str:
     return f"""
-  SELECT a.step_name, COUNT(DISTINCT a.case_number) AS completed
-  FROM s a INNER JOIN ({_latest(where)}) b ON a.step_id = b.step_id
-  GROUP BY a.step_name"""
+  SELECT step_name, COUNT(DISTINCT case_number) AS completed FROM s
+  WHERE step_id IN (SELECT step_id FROM ({_latest(where)}))
+  GROUP BY step_name"""
 
 
 def _in_progress(where: str) -> str:
@@ -252,22 +249,17 @@ SELECT step_name AS "from", concat(step_name, ' In Progress') AS "to", in_progre
 FROM ({_in_progress(where)})"""
 
 
-def _detail_hero(completed_condition: str, completed: str) -> str:
+def _detail_hero(completed: str) -> str:
     return f"""
-SELECT DISTINCT a.case_number AS asap, COALESCE(b.remaining, 0) AS remaining,
-  {completed} AS completed, t.total_cycle_time, t.avg_cycle_time, a.case_status AS is_active,
-  a.case_created AS date_start, e.date_end
-FROM s a
-LEFT JOIN (SELECT case_number, COUNT(step_name) AS remaining FROM s
-           WHERE date_out IS NULL GROUP BY case_number) b ON a.case_number = b.case_number
-LEFT JOIN (SELECT case_number, COUNT(step_name) AS completed FROM s
-           WHERE {completed_condition} GROUP BY case_number) c ON a.case_number = c.case_number
-LEFT JOIN (SELECT case_number, AVG(total_cycle_time) AS total_cycle_time,
-             CAST(SUM(cycle_days) AS DOUBLE) / NULLIF(COUNT(cycle_days), 0) AS avg_cycle_time
-           FROM s GROUP BY case_number) t ON a.case_number = t.case_number
-LEFT JOIN (SELECT case_number, MAX(date_out) AS date_end FROM s
-           WHERE case_status = 'Completed' GROUP BY case_number) e
-  ON a.case_number = e.case_number"""
+SELECT DISTINCT case_number AS asap, remaining, completed, total_cycle_time, avg_cycle_time,
+  case_status AS is_active, case_created AS date_start, date_end
+FROM (SELECT DISTINCT case_number, case_status, case_created FROM s) JOIN (
+  SELECT case_number, COUNT(step_name) FILTER (WHERE date_out IS NULL) AS remaining,
+    {completed} AS completed, AVG(total_cycle_time) AS total_cycle_time,
+    CAST(SUM(cycle_days) AS DOUBLE) / NULLIF(COUNT(cycle_days), 0) AS avg_cycle_time,
+    MAX(date_out) FILTER (WHERE case_status = 'Completed') AS date_end
+  FROM s GROUP BY case_number
+) USING (case_number)"""
 
 
 STEP_TIMES = """
@@ -291,11 +283,10 @@ def _step_standards() -> str:
 
 def _summary() -> str:
     return f"""
-  SELECT a.case_number, CAST(SUM(a.withinstandards) AS BIGINT) AS ontimesteps,
-    b.completedsteps, b.case_created
-  FROM ({_step_standards()}) a
-  LEFT JOIN ({COMPLETED_STEPS}) b ON a.case_number = b.case_number
-  GROUP BY a.case_number, b.completedsteps, b.case_created"""
+  SELECT case_number, CAST(ontime AS BIGINT) AS ontimesteps, completedsteps, case_created
+  FROM (SELECT case_number, SUM(withinstandards) AS ontime FROM ({_step_standards()})
+        GROUP BY case_number)
+  LEFT JOIN ({COMPLETED_STEPS}) USING (case_number)"""
 
 
 def _legend(key: str, colors: Mapping) -> str:
@@ -357,8 +348,11 @@ SELECT {FACT_COLUMNS}, CAST(days AS DOUBLE) AS days, CAST(hours AS DOUBLE) AS ho
 SELECT asap, name AS role, total AS avg_role_time FROM ({_case_sums("role")})""",
         "step_totals_by_case": f"""
 SELECT asap, name AS step, total AS avg_role_time FROM ({_case_sums("step_name")})""",
-        "detail_hero": _detail_hero("date_out IS NOT NULL", "COALESCE(c.completed, 0)"),
-        "detail_hero_compat": _detail_hero("date_out IS NULL", "c.completed"),
+        "detail_hero": _detail_hero("COUNT(step_name) FILTER (WHERE date_out IS NOT NULL)"),
+        "detail_hero_compat": _detail_hero(
+            "CASE WHEN bool_or(date_out IS NULL) "
+            "THEN COUNT(step_name) FILTER (WHERE date_out IS NULL) END"
+        ),
         "asap_detail": """
 SELECT case_number, date_in AS action_time, assigned_to AS "user", role, step_name, action_name
 FROM s WHERE date_in IS NOT NULL""",
