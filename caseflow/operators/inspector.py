@@ -33,24 +33,25 @@ def _case_units(steps: DataFrame, days: DurationUnits, as_of: AsOf) -> DataFrame
 
 def _activity(steps: DataFrame, scope: Scope, as_of: AsOf) -> DataFrame:
     days = DurationUnits.of_days(steps)
-    # Each visit counts once for its role and once for its step: both halves
-    # come from one scan and one shuffle.
+    # Visits are summed with keys that spread a large case. The few sums left
+    # are gathered by case: join, split and final sum then need no shuffle.
+    sums = (
+        scoped_steps(steps, scope)
+        .groupBy("case_number", "case_status", "role", "step_name")
+        .agg(F.sum(days.aged(as_of_column(as_of))).alias("units"))
+        .repartition("case_number")
+    )
+    # Each visit counts once for its role and once for its step.
     halves = F.array(
         F.struct(F.lit("Role").alias("type"), F.col("role").alias("name")),
         F.struct(F.lit("Step").alias("type"), F.col("step_name").alias("name")),
     )
-    durations = (
-        scoped_steps(steps, scope)
-        .select(
-            "case_number",
-            "case_status",
-            days.aged(as_of_column(as_of)).alias("units"),
-            F.inline(halves),
-        )
-        .groupBy("case_number", "type", "name", "case_status")
+    rows = (
+        sums.join(_case_units(steps, days, as_of), "case_number")
+        .select("case_number", "case_status", "total_units", "units", F.inline(halves))
+        .groupBy("case_number", "type", "name", "case_status", "total_units")
         .agg(F.sum("units").alias("units"))
     )
-    rows = durations.join(_case_units(steps, days, as_of), "case_number")
     name = F.col("name")
     is_role = F.col("type") == "Role"
     role_min, role_max = standard_columns(INSPECTOR_ROLE_STANDARDS, name)

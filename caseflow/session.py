@@ -12,6 +12,8 @@ SETTINGS = {
     # sizes are compressed, so before any measurement only 1 MB counts as small.
     "spark.sql.autoBroadcastJoinThreshold": "1MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+    # Hash instead of sort where every measured partition of one side fits.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
