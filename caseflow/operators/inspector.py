@@ -133,9 +133,13 @@ def activity_legend(steps: DataFrame) -> DataFrame:
             F.lit(number).alias("block_no"), F.lit(title).alias("title"), "name", "color"
         )
 
-    static = steps.sparkSession.createDataFrame(
-        list(TOTAL_LEGEND.items()), "name string, color string"
+    bands = F.array(
+        *(
+            F.struct(F.lit(name).alias("name"), F.lit(color).alias("color"))
+            for name, color in TOTAL_LEGEND.items()
+        )
     )
+    static = steps.sparkSession.range(1).select(F.inline(bands))
     return (
         block(1, STEP_LEGEND_TITLE, legend_steps(steps))
         .unionByName(block(2, TOTAL_LEGEND_TITLE, static))
