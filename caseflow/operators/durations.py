@@ -106,24 +106,30 @@ def step_totals_by_case(steps: DataFrame, asap: str | None = None) -> DataFrame:
     )
 
 
+# Copies of the statistics, one per slice of the cases, in the join with totals.
+SLICES = 16
+
+
 def _beside_totals(stats: DataFrame, steps: DataFrame, key: str, asap: str | None) -> DataFrame:
     """``stats LEFT JOIN totals`` on the name, one row per name and case.
 
     The left side has one row per name, the right one per case and name, so a
     plain left join would hash all totals onto a few names and could neither
     broadcast nor replicate the left side. Matched names therefore come from an
-    inner join, where the engine may broadcast ``stats`` once it has measured
-    it, or else split the partition of a hot name; names without any total are
-    added with NULL.
+    inner join; names without any total are added with NULL. The engine may
+    broadcast the statistics once it has measured them. Otherwise each name is
+    spread over slices of the cases, so a hot name is shared by many tasks.
     """
     name = F.col(key).alias("name")
-    totals = totals_by_case(steps, key, asap).select(name, F.col("total_days").alias("avg_time"))
-    with_total = one_case(steps, asap).where(F.col("cycle_days").isNotNull())
-    named = with_total.select(name).distinct()
-    unmatched = stats.join(named, "name", "left_anti")
-    return stats.join(totals, "name").unionByName(
-        unmatched.withColumn("avg_time", F.lit(None).cast("double"))
+    part = F.pmod(F.xxhash64("case_number"), F.lit(SLICES)).cast("int").alias("slice")
+    totals = totals_by_case(steps, key, asap).select(
+        name, part, F.col("total_days").alias("avg_time")
     )
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice")
+    matched = stats.select("*", copies).join(totals, ["name", "slice"]).drop("slice")
+    with_total = one_case(steps, asap).where(F.col("cycle_days").isNotNull())
+    unmatched = stats.join(with_total.select(name).distinct(), "name", "left_anti")
+    return matched.unionByName(unmatched.withColumn("avg_time", F.lit(None).cast("double")))
 
 
 def detail_role(

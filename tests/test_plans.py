@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseflow.operators import cases, durations, hero, inspector, sankey
 from caseflow.operators.scope import Scope
@@ -106,6 +107,37 @@ def test_completed_flow_uses_a_semi_join(table):
     assert "LeftSemi" in plan(sankey.completed_by_step(table, SCOPE))
 
 
+def test_repeated_step_id_is_split(spark, table):
+    settings = {
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    hot = table.withColumn(
+        "step_id",
+        F.when(F.pmod(F.xxhash64("case_number"), F.lit(3)) == 0, 5).otherwise(F.col("step_id")),
+    ).repartition(8)
+    wanted = sorted(map(tuple, sankey.completed_by_step(hot).na.fill("-").collect()))
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        frame = sankey.completed_by_step(hot)
+        assert sorted(map(tuple, frame.na.fill("-").collect())) == wanted
+        frame.collect()
+        assert "skew=true" in plan(frame)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_detail_spreads_each_name(spark, table):
+    frame = durations.detail_role(table, SCOPE, None, AS_OF)
+    assert re.search(r"hashpartitioning\(name#\d+, slice#\d+", plan(frame))
+
+
 def test_detail_joins_carry_no_broadcast_hint(table):
     frame = durations.detail_role(table, SCOPE, None, AS_OF)
     text = frame._jdf.queryExecution().optimizedPlan().toString()
