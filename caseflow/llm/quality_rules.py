@@ -9,6 +9,7 @@ votes: at most 3 to the power of the number of rules, however many documents the
 from __future__ import annotations
 
 import itertools
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +20,15 @@ from pyspark.sql import functions as F
 from caseflow.llm.common import SPACES, stored, table
 
 SYMBOLS = "#*$%&|<>"
+#: Bytes of a plain word: letters, any byte of a non-ASCII character, marks within or after a word.
+PLAIN = string.ascii_letters.encode() + bytes(range(128, 256)) + b".,;:!?'-"
 FEATURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_distinct", "n_upper", "n_letters",
+    "n_lines", "n_distinct", "n_upper", "n_letters", "n_plain", "n_marked",
 )
 
+_SYMBOL_BYTES = SYMBOLS.encode()
+
 
 def repeated_words(ids: np.ndarray, distinct: int) -> int:
     """Words covered by a 3-word window that occurs twice or more, first occurrence included."""
@@ -55,6 +60,9 @@ def measures(text: str | None) -> tuple[int, ...]:
     words = raw.split()  # bytes split on exactly the six ASCII spaces
     index: dict[bytes, int] = {}
     ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+    times = np.bincount(ids, minlength=len(index))
+    plain = np.fromiter((not w.translate(None, PLAIN) for w in index), bool, len(index))
+    marked = np.fromiter((w[-1] in _SYMBOL_BYTES for w in index), bool, len(index))
     lines = [line for line in raw.split(b"\n") if line.strip()]
     octets = np.frombuffer(raw, np.uint8)
     upper = int(((octets >= 65) & (octets <= 90)).sum())
@@ -69,6 +77,8 @@ def measures(text: str | None) -> tuple[int, ...]:
         len(index),
         upper,
         upper + lower,
+        int(times[plain].sum()),
+        int(times[marked].sum()),
     )
 
 
@@ -97,8 +107,10 @@ class Rule:
 RULES = (
     Rule("length", "@n_words < 30", "@n_words >= 80"),
     Rule("repetition", "10 * @n_repeat_words > 3 * @n_words", "20 * @n_repeat_words <= @n_words"),
-    Rule("lines", "10 * @n_dup_lines > 3 * @n_lines", "@n_dup_lines = 0 and @n_lines > 0"),
+    Rule("lines", "2 * @n_dup_lines > @n_lines", "@n_dup_lines = 0 and @n_lines > 0"),
     Rule("symbols", "10 * @n_symbols > @n_words", "100 * @n_symbols <= @n_words and @n_words > 0"),
+    Rule("plain_words", "10 * @n_plain < 7 * @n_words", "10 * @n_plain >= 9 * @n_words and @n_words > 0"),
+    Rule("marked_words", "10 * @n_marked > @n_words", "100 * @n_marked <= @n_words and @n_words > 0"),
     Rule("capitals", "2 * @n_upper > @n_letters", "10 * @n_upper <= @n_letters and @n_letters > 0"),
     Rule("variety", "10 * @n_distinct < 3 * @n_words", "2 * @n_distinct >= @n_words and @n_words >= 30"),
     Rule("word_size", "@word_chars < 3 * @n_words or @word_chars > 12 * @n_words",
