@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caseflow.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
 from caseflow.llm.ngram_join import op4_ngram_jaccard_join
 from caseflow.llm.packing import op2_best_fit_packing
 from caseflow.llm.quality_rules import op7_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op4_ngram_jaccard_join, op7_quality_rules)
+    f.__name__: f for f in (op2_best_fit_packing, op4_ngram_jaccard_join, op7_quality_rules, op8_benchmark_decontamination)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_benchmark_decontamination": OP8_SQL}
