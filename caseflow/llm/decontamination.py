@@ -198,9 +198,9 @@ WITH raw AS (
     UNION ALL SELECT item_id, text, 1 FROM benchmark
 ),
 split AS (
-    SELECT id, item, list_filter(string_split_regex(
+    SELECT id, item, [x FOR x IN string_split_regex(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[ \t\n\x0B\f\r]+'), x -> x <> '') AS words
+        '[ \t\n\x0B\f\r]+') IF x <> ''] AS words
     FROM raw
 ),
 placed AS (SELECT id, item, words, unnest(range(1, len(words) - 3)) AS i FROM split WHERE len(words) >= 5),
