@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from caseflow.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
 from caseflow.llm.ngram_join import op4_ngram_jaccard_join
 from caseflow.llm.packing import op2_best_fit_packing
+from caseflow.llm.pii import op5_pii
 from caseflow.llm.quality_rules import op7_quality_rules
 
 from caseflow.llm.secrets import op1_secret_scans
+from caseflow.llm.sharding import op6_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op4_ngram_jaccard_join, op7_quality_rules, op8_benchmark_decontamination)
+    f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op4_ngram_jaccard_join, op5_pii, op6_sharding, op7_quality_rules, op8_benchmark_decontamination)
 }
 
 SQL: dict[str, str] = {"op8_benchmark_decontamination": OP8_SQL}
