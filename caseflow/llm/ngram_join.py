@@ -8,8 +8,9 @@ probes the few long lists by binary search. Spark brings together what can share
 2. The first shingles of each set in a fixed order, its prefix, are counted over all documents. Two
    linked sets share a known number of prefix shingles, so a set with fewer repeated ones has no partner.
    What remains, the survivors, is a small part of most corpora.
-3. Survivors that share a prefix shingle form clusters. A cluster is searched in one task, or block by
-   block if it is large: each pair of blocks is a task of bounded size.
+3. Among survivors all shingles are counted, and sets without enough repeated ones dropped again. What
+   shares a prefix shingle, rarest first, forms clusters. A cluster is searched in one task, or block
+   by block if it is large: each pair of blocks is a task of bounded size.
 4. The links of all tasks are joined to components.
 """
 
@@ -30,6 +31,8 @@ from caseflow.llm.graph import components
 WORDS = 5
 #: Documents of a cluster that are searched in one task; larger clusters are searched block by block.
 BLOCK = 1500
+#: Hashes of rows that are broadcast, 16 MB of them.
+SENT_ROWS = 2_000_000
 _FACTORS = [
     np.uint64(x)
     for x in (
@@ -163,31 +166,34 @@ class Links:
         self.parent[max(first, second)] = min(first, second)
 
 
-def divide_skip(sets: list[np.ndarray]) -> Links:
-    """Components of the links among ``sets`` of distinct shingles.
+def divide_skip(sets: list[np.ndarray], sizes: np.ndarray) -> Links:
+    """Components of the links among sets, given as their repeated shingles and full sizes.
 
-    Sets are queries in turn. A query's lists are ordered by length; the T - 1 longest are put aside, for
-    whatever is in T lists is in one of the others. The short ones are merged into candidates with
-    their counts; candidates already in the query's component, of an impossible size, or with too few
-    lists left to reach T are dropped, and the rest probed in the long lists by binary search.
+    Shingles that no other set has are left out of ``sets``; they are the shortest lists and lead
+    nowhere. Sets are queries in turn. A query's lists are ordered by length; the T - 1 longest are put
+    aside, for whatever is in T lists is in one of the others. The short ones are merged into candidates
+    with their counts; candidates already in the query's component, of an impossible size, or with too
+    few lists left to reach T are dropped, and the rest probed in the long lists by binary search.
     """
     links = Links(len(sets))
     if len(sets) < 2:
         return links
-    sizes = np.asarray([len(s) for s in sets])
-    owners = np.repeat(np.arange(len(sets)), sizes)
+    listed = np.asarray([len(s) for s in sets])
+    owners = np.repeat(np.arange(len(sets)), listed)
     _, dense, lengths = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(dense, kind="stable")
     postings = owners[order]  # the lists one after the other, each in rising order
     starts = np.r_[0, np.cumsum(lengths)]
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(listed)
     roots = np.arange(len(sets))
     for query in range(len(sets)):
         size = int(sizes[query])
-        own = dense[ends[query] - size : ends[query]]
-        own = own[np.argsort(lengths[own], kind="stable")]
         least = needed(size)
-        short = own[: size - least + 1]
+        if listed[query] < least:
+            continue
+        own = dense[ends[query] - listed[query] : ends[query]]
+        own = own[np.argsort(lengths[own], kind="stable")]
+        short = own[: len(own) - least + 1]
         short = short[lengths[short] > 1]
         if not len(short):
             continue
@@ -198,7 +204,7 @@ def divide_skip(sets: list[np.ndarray]) -> Links:
         found, counts = found[fits], counts[fits]
         # T of each pair: overlap >= 75 % of the union, hence >= 3 / 7 of both sizes, rounded up.
         wanted = (3 * (sizes[found] + size) + 6) // 7
-        long = own[size - least + 1 :]
+        long = own[len(own) - least + 1 :]
         for left, one in enumerate(long):
             alive = counts + (len(long) - left) >= wanted
             if not alive.all():
@@ -220,7 +226,7 @@ def _search(batch: pd.DataFrame) -> pd.DataFrame:
     """Links of a task's documents as (a, b): each to the first of its component."""
     batch = batch.drop_duplicates("key")
     keys = list(batch["key"])
-    links = divide_skip([np.asarray(s, np.int64) for s in batch["shingles"]])
+    links = divide_skip([np.asarray(s, np.int64) for s in batch["shingles"]], batch["n"].to_numpy())
     roots = [links.root(node) for node in range(len(keys))]
     pairs = [(keys[node], keys[root]) for node, root in enumerate(roots) if node != root]
     return pd.DataFrame(pairs, columns=["a", "b"])
@@ -229,20 +235,45 @@ def _search(batch: pd.DataFrame) -> pd.DataFrame:
 def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         hashes = [shingle_hashes(text) for text in batch["text"]]
-        keys = [set_key(h) for h in hashes]
-        same = [key == bytes(own) for key, own in zip(keys, batch["key"], strict=True)]
         yield pd.DataFrame(
-            {"key": keys, "shingles": [h.view(np.int64) for h in hashes]}
-        ).loc[same]
+            {"key": [set_key(h) for h in hashes], "shingles": [h.view(np.int64) for h in hashes]}
+        )
+
+
+def _read_again(docs: DataFrame, survivors: DataFrame) -> DataFrame:
+    """The texts of the survivors. Up to ``SENT_ROWS`` hashes of rows go to every task; more are joined."""
+    chosen = survivors.select("row")
+    if survivors.count() <= SENT_ROWS:
+        chosen = F.broadcast(chosen)
+    return docs.join(chosen, "row", "left_semi").select("text")
+
+
+def _repeated_shingles(arrays: DataFrame) -> DataFrame:
+    """(key, n, shingles): shingles that another survivor has too, the rarest first.
+
+    Sets in which they are fewer than any partner shares are dropped.
+    """
+    rows = arrays.select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    times = rows.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    return (
+        rows.join(times, "shingle")
+        .groupBy("key")
+        .agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("s"))
+        .where(F.size("s") >= F.expr("(3 * n + 3) div 4"))
+        .select("key", "n", F.col("s.shingle").alias("shingles"))
+    )
 
 
 def _links(arrays: DataFrame) -> DataFrame:
-    """Links (a, b) among the stored sets, enough of them to join each component."""
-    spark = arrays.sparkSession
-    count = F.size("shingles")
-    prefix = F.slice("shingles", 1, count - F.floor((3 * count + 3) / 4).cast("int") + 1)
-    # Any fixed order will do; the array's own is that of unsigned hashes.
-    rows = arrays.select("key", F.explode(prefix).alias("shingle"))
+    """Links (a, b) among the stored sets of ``_repeated_shingles``, enough to join each component.
+
+    Unrepeated shingles come first in the order of a set's prefix, so that what is left of it are the
+    rarest of the repeated ones.
+    """
+    least = F.expr("cast((3 * n + 3) div 4 as int)")
+    rows = arrays.select(
+        "key", F.explode(F.slice("shingles", F.lit(1), F.size("shingles") - least + 1)).alias("shingle")
+    )
     hubs = rows.groupBy("shingle").agg(F.min("key").alias("hub"), F.max("key").alias("last"))
     shared = (
         rows.join(hubs.where("hub != last"), "shingle").where("key != hub").select("key", "hub").distinct()
@@ -280,8 +311,12 @@ def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
     docs = texts(docs, text_column=text_column).withColumn("row", F.xxhash64("doc_id", "text"))
     sets = stored(docs.mapInPandas(_sets, "doc_id long, row long, n_shingles long, key binary"))
     survivors = stored(_survivors(docs, sets))
-    again = docs.join(survivors, "row").select("text", "key")
-    arrays = stored(again.mapInPandas(_arrays, "key binary, shingles array<long>"))
+    again = stored(
+        _read_again(docs, survivors)
+        .mapInPandas(_arrays, "key binary, shingles array<long>")
+        .dropDuplicates(["key"])
+    )
+    arrays = stored(_repeated_shingles(again))
     roots = components(_links(arrays)).toDF("key", "root")
     named = (
         sets.where("key is not null")
