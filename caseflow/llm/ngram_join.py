@@ -300,6 +300,23 @@ def _links(arrays: DataFrame) -> DataFrame:
     return tasks.applyInPandas(_search, "a binary, b binary")
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n_shingles, key, root) of rows (doc_id, text, row); root is null for empty sets."""
+    sets = stored(docs.mapInPandas(_sets, "doc_id long, row long, n_shingles long, key binary"))
+    survivors = stored(_survivors(docs, sets))
+    again = stored(
+        _read_again(docs, survivors)
+        .mapInPandas(_arrays, "key binary, shingles array<long>")
+        .dropDuplicates(["key"])
+    )
+    roots = components(_links(stored(_repeated_shingles(again)))).toDF("key", "root")
+    return sets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def _rows(docs: DataFrame, text_column: str) -> DataFrame:
+    return texts(docs, text_column=text_column).withColumn("row", F.xxhash64("doc_id", "text"))
+
+
 def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document.
 
@@ -308,30 +325,35 @@ def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
     and has a null component if no document of its component has an id. An empty table gives no rows;
     further columns are ignored.
     """
-    docs = texts(docs, text_column=text_column).withColumn("row", F.xxhash64("doc_id", "text"))
-    sets = stored(docs.mapInPandas(_sets, "doc_id long, row long, n_shingles long, key binary"))
-    survivors = stored(_survivors(docs, sets))
-    again = stored(
-        _read_again(docs, survivors)
-        .mapInPandas(_arrays, "key binary, shingles array<long>")
-        .dropDuplicates(["key"])
-    )
-    arrays = stored(_repeated_shingles(again))
-    roots = components(_links(arrays)).toDF("key", "root")
-    named = (
-        sets.where("key is not null")
-        .groupBy("key")
-        .agg(F.min("doc_id").alias("least"))
-        .join(roots, "key", "left")
-        .withColumn("root", F.coalesce("root", "key"))
-    )
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = named.join(least, "root").select("key", "component_id")
-    return sets.join(component, "key", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    grouped = stored(_grouped(_rows(docs, text_column)))
+    least = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return grouped.join(least, "root", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """One document of each component, that of the least id, with all its columns; and all empty ones.
+
+    Of repeated rows one stays. What goes, and not what stays, is looked up, in every task up to a size.
+    """
+    rows = _rows(docs.withColumnRenamed(id_column, "doc_id"), text_column)
+    grouped = stored(_grouped(rows).where("root is not null").select("root", "doc_id", "row"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row")).alias("first")
+    chosen = grouped.groupBy("root").agg(first).select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
+    times = grouped.groupBy("row").agg(F.count("*").alias("times"))
+    verdicts = stored(times.join(chosen, "row", "left").where("stays is null or times > 1"))
+    text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
+    carried = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("document"),
+        F.xxhash64(docs[id_column].cast("long"), text).alias("row"),
     )
+    sent = F.broadcast if verdicts.count() <= SENT_ROWS else lambda frame: frame
+    kept = carried.join(sent(verdicts.select("row")), "row", "left_anti")
+    repeated = verdicts.where("stays and times > 1").select("row")
+    if repeated.take(1):
+        once = carried.join(sent(repeated), "row", "left_semi").dropDuplicates(["row"])
+        kept = kept.unionByName(once)
+    return kept.select("document.*")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
