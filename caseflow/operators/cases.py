@@ -60,6 +60,8 @@ def detail_hero(steps: DataFrame, asap: str | None = None) -> DataFrame:
     """Open and finished steps, cycle times, status and dates of each case.
 
     A case with several statuses or creation dates has one row for each pair.
+    ``total_cycle_time`` is a mean of doubles, so its last digit may depend on
+    the order of rows if the totals are not whole numbers.
     """
     return _detail(steps, asap, compat=False)
 
@@ -132,16 +134,41 @@ def step_standards(steps: DataFrame, limits: Limits = ON_TIME_LIMITS) -> DataFra
 
 
 def case_on_time_summary(steps: DataFrame, limits: Limits = ON_TIME_LIMITS) -> DataFrame:
-    """Steps within their limit beside finished steps, per case.
+    """Steps within their limit beside finished steps, per case and creation date.
 
-    Steps are summed to one row per case before the join, so it joins at most
-    one row per case with the case's creation dates.
+    A case without any finished row has one row with NULLs. One scan: visits are merged by case,
+    creation date and step, with keys that spread a large case; what is left is gathered by case, where
+    windows add up each step over the creation dates, and each case over its steps.
     """
-    on_time = step_standards(steps, limits).groupBy("case_number").agg(
-        F.sum("withinstandards").alias("ontimesteps")
+    days = DurationUnits.of_days(steps)
+    merged = steps.groupBy("case_number", "case_created", "step_name").agg(
+        F.sum(days.stored()).alias("units"),
+        F.max(F.col("date_out").isNotNull()).alias("finished"),
+    )
+    case = Window.partitionBy("case_number")
+    step = Window.partitionBy("case_number", "step_name")
+    first = F.row_number().over(step.orderBy("case_created")) == 1
+    within = within_limit(limits, F.col("step_name"), days.value(F.sum("units").over(step)))
+    steps_of_case = (
+        merged.select(
+            "*",
+            F.when(first, within).otherwise(0).alias("within"),
+            F.max("finished").over(case).alias("any_finished"),
+        )
+        .withColumn("ontimesteps", F.sum("within").over(case))
+        .withColumn("case_created", F.when(F.col("any_finished"), F.col("case_created")))
     )
-    return on_time.join(completed_steps(steps), "case_number", "left").select(
-        "case_number", "ontimesteps", "completedsteps", "case_created"
+    per_date = steps_of_case.groupBy("case_number", "case_created").agg(
+        F.max("ontimesteps").alias("ontimesteps"),
+        F.count(F.when(F.col("finished"), F.col("step_name"))).alias("completed"),
+        F.max("finished").alias("finished"),
+        F.max("any_finished").alias("any_finished"),
+    )
+    return per_date.where(F.col("finished") | ~F.col("any_finished")).select(
+        "case_number",
+        "ontimesteps",
+        F.when(F.col("finished"), F.col("completed")).alias("completedsteps"),
+        "case_created",
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from caseflow.functions.columns import as_of_column, standard_columns
 from caseflow.functions.constants import (
@@ -16,6 +16,7 @@ from caseflow.functions.constants import (
 )
 from caseflow.functions.units import DurationUnits
 from caseflow.operators.scope import Scope, dated_steps, one_case, scoped_steps
+from caseflow.schema import CREATED_MONTH
 
 Standards = Mapping[str, tuple[int, int]]
 AsOf = datetime | str | None
@@ -25,7 +26,7 @@ def effective_durations(steps: DataFrame, as_of: AsOf = None) -> DataFrame:
     """Step visits with ``days`` and ``hours``, open ones aged until ``as_of``."""
     moment = as_of_column(as_of)
     return steps.select(
-        "*",
+        *(name for name in steps.columns if name != CREATED_MONTH),
         DurationUnits.of_days(steps).aged_decimal(moment).alias("days"),
         DurationUnits.of_hours(steps).aged_decimal(moment).alias("hours"),
     )
@@ -106,30 +107,59 @@ def step_totals_by_case(steps: DataFrame, asap: str | None = None) -> DataFrame:
     )
 
 
-# Copies of the statistics, one per slice of the cases, in the join with totals.
-SLICES = 16
-
-
-def _beside_totals(stats: DataFrame, steps: DataFrame, key: str, asap: str | None) -> DataFrame:
+def _detail(
+    steps: DataFrame,
+    key: str,
+    counted: Column,
+    standards: Standards,
+    asap: str | None,
+    as_of: AsOf,
+    slices: int | None,
+) -> DataFrame:
     """``stats LEFT JOIN totals`` on the name, one row per name and case.
 
-    The left side has one row per name, the right one per case and name, so a
-    plain left join would hash all totals onto a few names and could neither
-    broadcast nor replicate the left side. Matched names therefore come from an
-    inner join; names without any total are added with NULL. The engine may
-    broadcast the statistics once it has measured them. Otherwise each name is
-    spread over slices of the cases, so a hot name is shared by many tasks.
+    ``counted`` tells which visits the statistics are made of. The left side has one row per name, the
+    right one per case and name, so a plain left join would hash all totals onto a few names and could
+    neither broadcast nor replicate the left side. The statistics therefore also learn which names have
+    a total: those are joined inner, the others only get a NULL, and no further scan is needed. The
+    engine may broadcast the statistics once it has measured them. Otherwise each name is spread over
+    slices of the cases, so a hot name is shared by many tasks.
     """
-    name = F.col(key).alias("name")
-    part = F.pmod(F.xxhash64("case_number"), F.lit(SLICES)).cast("int").alias("slice")
+    if slices is None:
+        slices = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    days = DurationUnits.of_days(steps)
+    with_total = F.col("cycle_days").isNotNull()
+    if asap is not None:
+        with_total &= F.col("case_number") == asap
+    visits = steps.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("name"),
+        F.coalesce(counted, F.lit(False)).alias("counted"),
+        F.coalesce(with_total, F.lit(False)).alias("with_total"),
+        F.when(counted, days.aged(as_of_column(as_of))).alias("units"),
+    )
+    stats = (
+        visits.groupBy("name")
+        .agg(
+            days.average(F.col("units")).alias("average_duration"),
+            days.value(F.min("units")).alias("min"),
+            days.value(F.max("units")).alias("max"),
+            F.max("counted").alias("counted"),
+            F.max("with_total").alias("with_total"),
+        )
+        .where("counted")
+        .drop("counted")
+        .select("*", *standard_columns(standards, F.col("name")))
+    )
+    part = F.pmod(F.xxhash64("case_number"), F.lit(slices)).cast("int").alias("slice")
     totals = totals_by_case(steps, key, asap).select(
-        name, part, F.col("total_days").alias("avg_time")
+        F.col(key).alias("name"), part, F.col("total_days").alias("avg_time")
     )
-    copies = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice")
-    matched = stats.select("*", copies).join(totals, ["name", "slice"]).drop("slice")
-    with_total = one_case(steps, asap).where(F.col("cycle_days").isNotNull())
-    unmatched = stats.join(with_total.select(name).distinct(), "name", "left_anti")
-    return matched.unionByName(unmatched.withColumn("avg_time", F.lit(None).cast("double")))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    matched = (
+        stats.where("with_total").select("*", copies).join(totals, ["name", "slice"]).drop("slice")
+    )
+    unmatched = stats.where("not with_total").withColumn("avg_time", F.lit(None).cast("double"))
+    return matched.unionByName(unmatched).drop("with_total")
 
 
 def detail_role(
@@ -138,14 +168,16 @@ def detail_role(
     asap: str | None = None,
     as_of: AsOf = None,
     standards: Standards = ROLE_STANDARDS,
+    slices: int | None = None,
 ) -> DataFrame:
     """Role statistics in the date range, beside the days per case of each role.
 
     ``avg_time`` keeps its customary name; it is a sum. The organisations of
-    ``scope`` are not used.
+    ``scope`` are not used. ``slices`` is how many tasks may share one role's
+    totals; by default as many as the session's shuffle has partitions.
     """
-    stats = duration_stats(dated_steps(steps, scope), "role", standards, as_of)
-    return _beside_totals(stats, steps, "role", asap)
+    dated = scope.date_condition(steps)
+    return _detail(steps, "role", dated, standards, asap, as_of, slices)
 
 
 def detail_step(
@@ -154,11 +186,10 @@ def detail_step(
     asap: str | None = None,
     as_of: AsOf = None,
     standards: Standards = DETAIL_STEP_STANDARDS,
+    slices: int | None = None,
 ) -> DataFrame:
     """As :func:`detail_role` by step, without visits of 1000 days or more."""
     days = DurationUnits.of_days(steps)
-    visits = dated_steps(steps, scope).where(
-        days.aged(as_of_column(as_of)) < OUTLIER_DAYS * days.per_whole
-    )
-    stats = duration_stats(visits, "step_name", standards, as_of)
-    return _beside_totals(stats, steps, "step_name", asap)
+    short = days.aged(as_of_column(as_of)) < OUTLIER_DAYS * days.per_whole
+    counted = scope.date_condition(steps) & short
+    return _detail(steps, "step_name", counted, standards, asap, as_of, slices)

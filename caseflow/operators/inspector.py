@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from caseflow.functions.columns import as_of_column, case_suffix, lookup, standard_columns
 from caseflow.functions.constants import (
@@ -126,29 +126,41 @@ def legend_roles(steps: DataFrame) -> DataFrame:
 
 
 def activity_legend(steps: DataFrame) -> DataFrame:
-    """The three legend blocks (steps, total time, roles) as flat rows."""
+    """The three legend blocks (steps, total time, roles) as flat rows with their ``position``.
+
+    The bands of the total time keep their fixed order; steps and roles follow their names, the
+    missing one last.
+    """
+    by_name = Window.partitionBy("block_no").orderBy(F.asc_nulls_last("name"))
 
     def block(number: int, title: str, rows: DataFrame) -> DataFrame:
         return rows.select(
             F.lit(number).alias("block_no"), F.lit(title).alias("title"), "name", "color"
-        )
+        ).withColumn("position", F.row_number().over(by_name))
 
     bands = F.array(
         *(
-            F.struct(F.lit(name).alias("name"), F.lit(color).alias("color"))
-            for name, color in TOTAL_LEGEND.items()
+            F.struct(
+                F.lit(2).alias("block_no"),
+                F.lit(TOTAL_LEGEND_TITLE).alias("title"),
+                F.lit(name).alias("name"),
+                F.lit(color).alias("color"),
+                F.lit(position).alias("position"),
+            )
+            for position, (name, color) in enumerate(TOTAL_LEGEND.items(), 1)
         )
     )
     static = steps.sparkSession.range(1).select(F.inline(bands))
     return (
         block(1, STEP_LEGEND_TITLE, legend_steps(steps))
-        .unionByName(block(2, TOTAL_LEGEND_TITLE, static))
+        .unionByName(static)
         .unionByName(block(3, ROLE_LEGEND_TITLE, legend_roles(steps)))
     )
 
 
 def activity_legend_nested(steps: DataFrame) -> DataFrame:
-    """The legend with one row per block and its entries in ``rows``."""
+    """The legend with one row per block and its entries in ``rows``, in the order of the flat form."""
+    ordered = F.array_sort(F.collect_list(F.struct("position", "name", "color")))
     return activity_legend(steps).groupBy("block_no", "title").agg(
-        F.array_sort(F.collect_list(F.struct("name", "color"))).alias("rows")
+        F.transform(ordered, lambda item: item.dropFields("position")).alias("rows")
     )

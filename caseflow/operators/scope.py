@@ -41,6 +41,10 @@ class Scope:
     def __post_init__(self) -> None:
         object.__setattr__(self, "start", _parse(self.start, DEFAULT_START, "start"))
         object.__setattr__(self, "end", _parse(self.end, DEFAULT_END, "end"))
+        if self.start > self.end:
+            raise ValueError(f"start {self.start} is after end {self.end}")
+        if self.end == date.min:
+            raise ValueError("end is the first day of the calendar, so nothing lies before it")
         if self.orgs is None:
             return
         if isinstance(self.orgs, str):
@@ -78,8 +82,8 @@ class Scope:
 
 
 def scoped_steps(steps: DataFrame, scope: Scope = Scope()) -> DataFrame:
-    """Step visits of the cases in ``scope``."""
-    return steps.where(scope.date_condition(steps) & scope.org_condition())
+    """Step visits of the cases in ``scope``, without the partition column of a stored table."""
+    return steps.where(scope.date_condition(steps) & scope.org_condition()).drop(CREATED_MONTH)
 
 
 def dated_steps(steps: DataFrame, scope: Scope = Scope()) -> DataFrame:

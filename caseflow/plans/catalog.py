@@ -22,6 +22,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2002-01-01 00:00:00"
 EVERYTHING = Scope()
 SCOPED = Scope("1996-01-01", "2000-01-01", ["Org 1", "Org 2"])
+# The literal total has an answer other than 0 for one organisation only.
+ONE_ORG = Scope(orgs=["Org 1"])
+ONE_ORG_SCOPED = Scope("1996-01-01", "2000-01-01", ["Org 1"])
+# A case that is present at every scale, with a date range that its cases lie in.
+CASE = "Ticket 23"
+CASE_SCOPE = Scope("1992-01-01", "1999-01-01")
 
 
 def _plain_numbers(rows: DataFrame) -> DataFrame:
@@ -31,15 +37,19 @@ def _plain_numbers(rows: DataFrame) -> DataFrame:
 
 
 def _flat_inspector(rows: DataFrame) -> DataFrame:
-    """Nested inspector cases with their arrays written out as text."""
+    """Nested inspector cases with their arrays written out as text: all fields, in array order."""
 
     def listed(array: str):
         parts = F.transform(
             F.col(array),
             lambda item: F.concat_ws(
                 ":",
-                F.coalesce(item["name"], F.lit("-")),
+                *(F.coalesce(item[f].cast("string"), F.lit("-")) for f in ("name", "type", "color")),
                 F.coalesce(item["duration_days"].cast("decimal(18,2)").cast("string"), F.lit("-")),
+                *(
+                    F.coalesce(item[f].cast("string"), F.lit("-"))
+                    for f in ("standard_min", "standard_max")
+                ),
             ),
         )
         return F.array_join(parts, ",").alias(array)
@@ -58,13 +68,18 @@ def _flat_inspector(rows: DataFrame) -> DataFrame:
 
 
 def _flat_legend(rows: DataFrame) -> DataFrame:
-    """Nested legend blocks with their entries counted and listed."""
-    names = F.transform("rows", lambda item: F.coalesce(item["name"], F.lit("-")))
+    """Nested legend blocks with their entries written out as text: all fields, in array order."""
+    entries = F.transform(
+        "rows",
+        lambda item: F.concat_ws(
+            ":", F.coalesce(item["name"], F.lit("-")), F.coalesce(item["color"], F.lit("-"))
+        ),
+    )
     return rows.select(
         "block_no",
         "title",
         F.size("rows").cast("bigint").alias("row_count"),
-        F.array_join(F.array_sort(names), ",").alias("names"),
+        F.array_join(entries, ",").alias("entries"),
     )
 
 
@@ -76,7 +91,6 @@ def operators() -> dict[str, tuple[str, Operator]]:
     with_scope: dict[str, tuple[str, Callable[..., DataFrame]]] = {
         "scoped_steps": (NUMBERED, lambda s, scope: _plain_numbers(scopes.scoped_steps(s, scope))),
         "hero_total_requests": (NUMBERED, hero.hero_total_requests),
-        "hero_total_requests_compat": (NUMBERED, hero.hero_total_requests_compat),
         "hero_active_requests": (NUMBERED, hero.hero_active_requests),
         "hero_completed_requests": (NUMBERED, hero.hero_completed_requests),
         "hero_avg_cycle_time": (NUMBERED, hero.hero_avg_cycle_time),
@@ -102,6 +116,25 @@ def operators() -> dict[str, tuple[str, Operator]]:
         "sankey_links": (BUSINESS, sankey.sankey_links),
     }
     without_scope: dict[str, tuple[str, Operator]] = {
+        "hero_total_requests_compat": (
+            NUMBERED,
+            partial(hero.hero_total_requests_compat, scope=ONE_ORG),
+        ),
+        "hero_total_requests_compat_scoped": (
+            NUMBERED,
+            partial(hero.hero_total_requests_compat, scope=ONE_ORG_SCOPED),
+        ),
+        "detail_role_case": (
+            NUMBERED,
+            partial(durations.detail_role, scope=CASE_SCOPE, asap=CASE, as_of=AS_OF),
+        ),
+        "detail_step_case": (
+            NUMBERED,
+            partial(durations.detail_step, scope=CASE_SCOPE, asap=CASE, as_of=AS_OF),
+        ),
+        "detail_hero_case": (NUMBERED, partial(cases.detail_hero, asap=CASE)),
+        "asap_detail_case": (NUMBERED, partial(cases.asap_detail, asap=CASE)),
+        "user_time_case": (NUMBERED, partial(cases.user_time, asap=CASE)),
         "effective_durations": (
             NUMBERED,
             lambda s: _plain_numbers(durations.effective_durations(s, AS_OF)),

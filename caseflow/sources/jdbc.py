@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from caseflow.schema import CASE_STEPS
+
 from caseflow.sources.columns import from_source_columns
 
 
@@ -51,9 +51,10 @@ def read_jdbc(
     num_partitions: int,
     fetch_size: int = 10_000,
     extra: Mapping[str, str] | None = None,
-    schema: StructType = CASE_STEPS,
+    schema: StructType | None = None,
+    bad_text: str = "error",
 ) -> DataFrame:
-    """Read the titled source table in parallel and bring it into ``schema``.
+    """Read the titled source table in parallel and convert it by :func:`from_source_columns`.
 
     Pass user, password and driver class in ``extra``. Filters and column
     selection of the operators reach the database through Spark's pushdown.
@@ -61,4 +62,4 @@ def read_jdbc(
     options = jdbc_options(
         url, table, lower_step_id, upper_step_id, num_partitions, fetch_size, extra
     )
-    return from_source_columns(spark.read.format("jdbc").options(**options).load(), schema)
+    return from_source_columns(spark.read.format("jdbc").options(**options).load(), schema, bad_text)

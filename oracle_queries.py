@@ -125,10 +125,11 @@ def _case_sums(key: str) -> str:
   FROM s WHERE cycle_days IS NOT NULL GROUP BY case_number, {key}"""
 
 
-def _detail(key: str, condition: str, standards: Mapping) -> str:
+def _detail(key: str, condition: str, standards: Mapping, case: str = "TRUE") -> str:
+    totals = f"SELECT name, total FROM ({_case_sums(key)}) WHERE {case}"
     return f"""
 SELECT name, average_duration, "min", "max", standard_min, standard_max, total AS avg_time
-FROM ({_stats(key, condition, standards)}) LEFT JOIN ({_case_sums(key)}) USING (name)"""
+FROM ({_stats(key, condition, standards)}) LEFT JOIN ({totals}) USING (name)"""
 
 
 def _count_cases(metric: str, condition: str) -> str:
@@ -187,8 +188,10 @@ def _inspector(where: str) -> str:
 def _inspector_nested(where: str) -> str:
     def listed(kind: str) -> str:
         entry = (
-            "concat(coalesce(name, '-'), ':', "
-            "coalesce(CAST(CAST(duration_days AS DECIMAL(18,2)) AS VARCHAR), '-'))"
+            "concat_ws(':', coalesce(name, '-'), type, coalesce(color, '-'), "
+            "coalesce(CAST(CAST(duration_days AS DECIMAL(18,2)) AS VARCHAR), '-'), "
+            "coalesce(CAST(standard_min AS VARCHAR), '-'), "
+            "coalesce(CAST(standard_max AS VARCHAR), '-'))"
         )
         return (
             f"coalesce(string_agg({entry}, ',' ORDER BY name ASC NULLS LAST) "
@@ -296,24 +299,26 @@ def _legend(key: str, colors: Mapping) -> str:
 
 
 def _activity_legend() -> str:
-    static = _values("total", "name, color", C.TOTAL_LEGEND)
+    bands = ", ".join(
+        f"({position}, {_literal(name)}, {_literal(color)})"
+        for position, (name, color) in enumerate(C.TOTAL_LEGEND.items(), 1)
+    )
+    by_name = "CAST(row_number() OVER (ORDER BY name ASC NULLS LAST) AS INTEGER) AS position"
     return f"""
-SELECT 1 AS block_no, '{C.STEP_LEGEND_TITLE}' AS title, name, color
+SELECT 1 AS block_no, '{C.STEP_LEGEND_TITLE}' AS title, name, color, {by_name}
 FROM ({_legend("step_name", C.STEP_COLORS)})
-UNION ALL SELECT 2, '{C.TOTAL_LEGEND_TITLE}', name, color FROM {static}
-UNION ALL SELECT 3, '{C.ROLE_LEGEND_TITLE}', name, color
+UNION ALL SELECT 2, '{C.TOTAL_LEGEND_TITLE}', name, color, position
+FROM (VALUES {bands}) AS total(position, name, color)
+UNION ALL SELECT 3, '{C.ROLE_LEGEND_TITLE}', name, color, {by_name}
 FROM ({_legend("role", C.ROLE_COLORS)})"""
 
 
-def _with_scope(dates: str, orgs: str, compat_orgs: str) -> tuple[dict, dict]:
+def _with_scope(dates: str, orgs: str) -> tuple[dict, dict]:
     where = f"{dates} AND {orgs}"
     in_scope = f"({where})"
     numbered = {
         "scoped_steps": f"SELECT {FACT_COLUMNS} FROM s WHERE {where}",
         **_hero(dates, orgs),
-        "hero_total_requests_compat": _count_cases(
-            C.TOTAL_REQUESTS, f"{dates} AND org_code = 'Org 1' AND {compat_orgs}"
-        ),
         "hero_stats": " UNION ALL ".join(
             f'SELECT metric, CAST("count" AS DOUBLE) AS "value" FROM ({sql})'
             for sql in _hero(dates, orgs).values()
@@ -338,6 +343,30 @@ def _with_scope(dates: str, orgs: str, compat_orgs: str) -> tuple[dict, dict]:
     return numbered, business
 
 
+def _per_case() -> dict[str, str]:
+    """The reports of one case."""
+    dates = "case_created >= TIMESTAMP '1992-01-01' AND case_created < TIMESTAMP '1999-01-01'"
+    case = "asap = 'Ticket 23'"
+    named = "COUNT(step_name) FILTER (WHERE date_out IS NOT NULL)"
+    return {
+        "detail_role_case": _detail("role", dates, C.ROLE_STANDARDS, case),
+        "detail_step_case": _detail(
+            "step_name", f"days < {C.OUTLIER_DAYS} AND {dates}", C.DETAIL_STEP_STANDARDS, case
+        ),
+        "detail_hero_case": f"SELECT * FROM ({_detail_hero(named)}) WHERE {case}",
+        "asap_detail_case": f"SELECT * FROM ({ASAP_DETAIL}) WHERE case_number = 'Ticket 23'",
+        "user_time_case": f"SELECT * FROM ({USER_TIME}) WHERE {case}",
+    }
+
+
+ASAP_DETAIL = """
+SELECT case_number, date_in AS action_time, assigned_to AS "user", role, step_name, action_name
+FROM s WHERE date_in IS NOT NULL"""
+USER_TIME = """
+SELECT assigned_to AS asap_user, CAST(SUM(cycle_days) AS DOUBLE) AS user_time, case_number AS asap
+FROM s WHERE cycle_days IS NOT NULL GROUP BY case_number, assigned_to"""
+
+
 def queries_by_vocabulary() -> tuple[dict[str, str], dict[str, str]]:
     """SQL over ``s`` and ``d`` by catalog name: numbered and business step names."""
     numbered: dict[str, str] = {
@@ -353,18 +382,16 @@ SELECT asap, name AS step, total AS avg_role_time FROM ({_case_sums("step_name")
             "CASE WHEN bool_or(date_out IS NULL) "
             "THEN COUNT(step_name) FILTER (WHERE date_out IS NULL) END"
         ),
-        "asap_detail": """
-SELECT case_number, date_in AS action_time, assigned_to AS "user", role, step_name, action_name
-FROM s WHERE date_in IS NOT NULL""",
-        "user_time": """
-SELECT assigned_to AS asap_user, CAST(SUM(cycle_days) AS DOUBLE) AS user_time, case_number AS asap
-FROM s WHERE cycle_days IS NOT NULL GROUP BY case_number, assigned_to""",
+        "asap_detail": ASAP_DETAIL,
+        "user_time": USER_TIME,
+        **_per_case(),
         "legend_steps": _legend("step_name", C.STEP_COLORS),
         "legend_roles": _legend("role", C.ROLE_COLORS),
         "activity_legend": _activity_legend(),
         "activity_legend_nested": f"""
 SELECT block_no, title, COUNT(*) AS row_count,
-  string_agg(coalesce(name, '-'), ',' ORDER BY coalesce(name, '-')) AS names
+  string_agg(concat(coalesce(name, '-'), ':', coalesce(color, '-')), ',' ORDER BY position)
+    AS entries
 FROM ({_activity_legend()}) GROUP BY block_no, title""",
     }
     business: dict[str, str] = {
@@ -378,12 +405,13 @@ SELECT case_number AS asap,
   CAST(ontimesteps AS DOUBLE) / NULLIF(completedsteps, 0) AS percent_completed_within_time,
   case_created AS created_at FROM ({_summary()})""",
     }
-    none_other = "NOT EXISTS (SELECT 1 FROM s WHERE org_code <> 'Org 1')"
-    both = "org_code = 'Org 1' AND org_code = 'Org 2'"
-    for suffix, scope, compat in (("", EVERYTHING, none_other), ("_scoped", SCOPED, both)):
-        first, second = _with_scope(*scope, compat)
+    for suffix, scope in (("", EVERYTHING), ("_scoped", SCOPED)):
+        first, second = _with_scope(*scope)
         numbered.update({name + suffix: sql for name, sql in first.items()})
         business.update({name + suffix: sql for name, sql in second.items()})
+        numbered["hero_total_requests_compat" + suffix] = _count_cases(
+            C.TOTAL_REQUESTS, f"{scope[0]} AND org_code = 'Org 1'"
+        )
     return numbered, business
 
 

@@ -125,3 +125,22 @@ def test_nested_legend(steps):
         "ASAP Durations by Role (Days)",
     ]
     assert [len(block.rows) for block in blocks] == [11, 4, 7]
+    assert [tuple(row) for row in blocks[1].rows] == [
+        ("Above Standards", "#719546"),
+        ("Within Standards", "#FCD360"),
+        ("Below Standards", "#A3294D"),
+        ("Active", "#ffffff"),
+    ]
+    for block in (blocks[0], blocks[2]):
+        names = [row.name for row in block.rows]
+        assert names[-1] is None and names[:-1] == sorted(names[:-1])
+
+
+def test_flat_legend_has_the_same_order(steps):
+    flat = inspector.activity_legend(steps).orderBy("block_no", "position").collect()
+    nested = inspector.activity_legend_nested(steps).orderBy("block_no").collect()
+    assert [(row.name, row.color) for row in flat] == [
+        tuple(row) for block in nested for row in block.rows
+    ]
+    assert [row.position for row in flat if row.block_no == 2] == [1, 2, 3, 4]
+

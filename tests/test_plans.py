@@ -85,6 +85,8 @@ def test_one_case_reaches_the_scan(table):
         cases.asap_detail(table, "Ticket 23"),
         cases.user_time(table, "Ticket 23"),
         durations.role_totals_by_case(table, "Ticket 23"),
+        durations.detail_role(table, SCOPE, "Ticket 23", AS_OF),
+        durations.detail_step(table, SCOPE, "Ticket 23", AS_OF),
     ):
         assert "EqualTo(case_number,Ticket 23)" in plan(frame)
 
@@ -97,10 +99,10 @@ def test_inspector_scans_twice_and_nests_without_a_shuffle(table):
     assert count(nested, "Exchange") == count(rows, "Exchange") - 1
 
 
-def test_on_time_list_joins_without_an_extra_shuffle(table):
+def test_on_time_list_scans_once(table):
     frame = cases.asap_list(table)
-    assert count(frame, "FileScan") == 2
-    assert count(frame, "Exchange") == 4
+    assert (count(frame, "FileScan"), count(frame, "Exchange")) == (1, 2)
+    assert "Join" not in plan(frame)
 
 
 def test_completed_flow_uses_a_semi_join(table):
@@ -133,15 +135,41 @@ def test_repeated_step_id_is_split(spark, table):
             spark.conf.set(key, value)
 
 
-def test_detail_spreads_each_name(spark, table):
+def test_detail_spreads_each_name_over_the_shuffle(spark, table):
     frame = durations.detail_role(table, SCOPE, None, AS_OF)
     assert re.search(r"hashpartitioning\(name#\d+, slice#\d+", plan(frame))
+    text = frame._jdf.queryExecution().optimizedPlan().toString()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert re.search(rf"pmod\(xxhash64\(case_number#\d+, 42\), {partitions}\)", text)
 
 
-def test_detail_joins_carry_no_broadcast_hint(table):
+def test_detail_scans_twice_without_an_anti_join(table):
     frame = durations.detail_role(table, SCOPE, None, AS_OF)
     text = frame._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" not in text and "Inner" in text and "LeftAnti" in text
+    assert "broadcast" not in text and "Inner" in text and "LeftAnti" not in text
+    frame.collect()
+    final = plan(frame).split("== Initial Plan ==")[0]
+    # The statistics are made once and used for the names with and without totals.
+    assert len(re.findall(r"\bFileScan\b", final)) - final.count("ReusedExchange") <= 2
+
+
+def test_a_name_with_most_totals_keeps_its_rows(spark, table):
+    settings = {"spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    hot = table.withColumn("role", F.when(F.col("step_id") % 10 > 0, "Role 2").otherwise(F.col("role")))
+    wanted = durations.role_totals_by_case(hot).where("role is not null").count()
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rows = durations.detail_role(hot, Scope(), None, AS_OF).where("avg_time is not null")
+        assert rows.count() == wanted
+        wider = durations.detail_role(hot, Scope(), None, AS_OF, slices=37)
+        assert wider.where("avg_time is not null").count() == wanted
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        else:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", before)
 
 
 def test_small_statistics_are_broadcast_once_measured(table):

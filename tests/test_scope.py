@@ -64,3 +64,10 @@ def test_bad_organisations():
         with pytest.raises(ValueError):
             Scope(orgs=bad)
     assert Scope(orgs=["Elsewhere"], allowed_orgs=None).orgs == ("Elsewhere",)
+
+
+def test_a_range_must_not_be_reversed_or_before_the_calendar():
+    with pytest.raises(ValueError, match="after"):
+        Scope("2021-01-01", "2020-01-01")
+    with pytest.raises(ValueError, match="calendar"):
+        Scope("0001-01-01", "0001-01-01")

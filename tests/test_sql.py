@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import oracle_queries
+from caseflow.functions import constants
 from caseflow.plans.catalog import catalog, operators
 from caseflow.schema import CASE_STEPS
 from caseflow.sources.star_schema import BUSINESS
@@ -34,6 +35,22 @@ def test_over_the_tables(spark, tables, name):
     assert count > 0
 
 
+@pytest.mark.parametrize(
+    "name, table, key",
+    [
+        ("inspector_nested", "ROLE_COLORS", "Role 2"),
+        ("inspector_nested", "DETAIL_STEP_STANDARDS", "Step Display Name 3"),
+        ("activity_legend_nested", "TOTAL_LEGEND", "Active"),
+    ],
+)
+def test_a_changed_value_is_noticed(spark, tables, monkeypatch, name, table, key):
+    sql = oracle_queries.oracle()[name]
+    values = getattr(constants, table)
+    changed = "#000000" if isinstance(values[key], str) else (7, 8)
+    monkeypatch.setitem(values, key, changed)
+    assert difference(catalog()[name](spark, TABLES), tables, sql)[1]
+
+
 def both_engines(rows, spark):
     """The same rows as Spark frame and as DuckDB table ``rows``."""
     columns = [field.name for field in CASE_STEPS]
