@@ -72,12 +72,11 @@ def _passes(kind: str, matches: Column) -> Column:
 
 def base_spans(text: Column, frame: DataFrame) -> DataFrame:
     """``frame`` with ``base``, the sorted spans of the base patterns in ``text``."""
-    frame = frame.withColumns({f"m_{kind}": found(text, pattern) for kind, pattern in KINDS})
     own = [
-        spans(text, F.col(f"m_{kind}"), pattern, kind, rank, _passes(kind, F.col(f"m_{kind}")))
+        spans(text, pattern, kind, rank, lambda matches, kind=kind: _passes(kind, matches))
         for rank, (kind, pattern) in enumerate(KINDS)
     ]
-    return frame.withColumn("base", F.array_sort(F.concat(*own))).drop(*[f"m_{k}" for k, _ in KINDS])
+    return frame.withColumn("base", F.array_sort(F.concat(*own)))
 
 
 def mentions(rows: DataFrame) -> DataFrame:
@@ -110,11 +109,11 @@ def context_terms(found_rows: DataFrame) -> DataFrame:
         "key", "text_hash", "base", F.explode("near").alias("near")
     )
     text = F.col("near.context")
-    near = near.withColumn("m", found(text, TERM))
-    ok = F.transform("m", lambda m: F.lit(True))
-    words = near.withColumn("words", spans(text, F.col("m"), TERM, "term", 0, ok)).select(
-        "key", "text_hash", "base", "near", F.explode(F.arrays_zip("words", "m")).alias("w")
-    )
+    places = spans(text, TERM, "term", 0, lambda m: F.transform(m, lambda _: F.lit(True)))
+    words = near.select(
+        "key", "text_hash", "base", "near",
+        F.explode(F.arrays_zip(places.alias("words"), found(text, TERM).alias("m"))).alias("w"),
+    )
     start = F.col("near.begin") + F.col("w.words.start")
     end = F.col("near.begin") + F.col("w.words.end")
     inside = F.exists("base", lambda b: (b["start"] < end) & (start < b["end"]))

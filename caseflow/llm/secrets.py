@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import digest, stored, table, texts
-from caseflow.llm.spans import SPAN, found, listed, of_kind, spans
+from caseflow.llm.spans import SPAN, listed, of_kind, spans
 
 SCOPE = 400
 
@@ -75,21 +75,17 @@ def _passes(text: Column, part: Part, matches: Column) -> Column:
 
 def parts_found(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, key) with ``base`` and ``weak``: sorted arrays of spans; without text."""
-    names = {part.kind: f"m_{part.kind}" for part in PARTS}
-    frame = docs.withColumns({names[p.kind]: found(F.col("text"), p.pattern) for p in PARTS})
+    text = F.col("text")
 
     def all_of(base: bool) -> Column:
         own = [
-            spans(
-                F.col("text"), F.col(names[p.kind]), p.pattern, p.kind, rank,
-                _passes(F.col("text"), p, F.col(names[p.kind])),
-            )
+            spans(text, p.pattern, p.kind, rank, lambda matches, p=p: _passes(text, p, matches))
             for rank, p in enumerate(PARTS)
             if p.base == base
-        ]
+        ]
         return F.array_sort(F.concat(*own))
 
-    return frame.select("doc_id", "key", all_of(True).alias("base"), all_of(False).alias("weak"))
+    return docs.select("doc_id", "key", all_of(True).alias("base"), all_of(False).alias("weak"))
 
 
 def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:

@@ -6,6 +6,8 @@ together. Expressions take time in proportion to the text and its matches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,18 +20,36 @@ def _total(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` or a lambda in it uses it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def _starts(steps: Column) -> Column:
-    """Sum of the elements before each element, chunk by chunk."""
-    size = F.size(steps)
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int")),
-        lambda c: _total(F.slice(steps, c * CHUNK + 1, F.lit(CHUNK))),
-    )
-    # Sums of whole chunks before each chunk, then of the elements before each element in its chunk.
-    return F.transform(
+    """Sum of the elements before each element: of the chunks before its own, and within its own."""
+
+    def chunk(i: Column) -> Column:
+        return F.floor(i / CHUNK).cast("int")
+
+    def sums(own: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), chunk(F.size(own) - 1)),
+            lambda c: _total(F.slice(own, c * CHUNK + 1, F.lit(CHUNK))),
+        )
+
+    def before(totals: Column) -> Column:
+        return F.transform(totals, lambda _, c: _total(F.slice(totals, F.lit(1), c)))
+
+    return let(
         steps,
-        lambda _, i: _total(F.slice(chunks, F.lit(1), F.floor(i / CHUNK).cast("int")))
-        + _total(F.slice(steps, F.floor(i / CHUNK).cast("int") * CHUNK + 1, i % CHUNK)),
+        lambda own: let(
+            let(sums(own), before),
+            lambda firsts: F.transform(
+                own,
+                lambda _, i: F.get(firsts, chunk(i))
+                + _total(F.slice(own, chunk(i) * CHUNK + 1, i % CHUNK)),
+            ),
+        ),
     )
 
 
@@ -38,35 +58,40 @@ def found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def spans(text: Column, matches: Column, pattern: str, kind: str, rank: int, ok: Column) -> Column:
-    """Spans of ``matches`` (``found`` of the same text and pattern) where the array ``ok`` is true.
+def spans(
+    text: Column,
+    pattern: str,
+    kind: str,
+    rank: int,
+    passes: Callable[[Column], Column],
+) -> Column:
+    """Sorted spans of the matches of ``pattern``; ``passes`` maps their array to an array of booleans.
 
     What lies between matches comes from splitting at the same pattern, so a match starts after the
     gaps and matches before it.
     """
-    # Two steps for each match: the gap before it, and the match.
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    lengths = F.transform(matches, lambda m: F.length(m).cast("long"))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), lengths, lambda g, n: g + n)
-    starts = F.zip_with(
-        _starts(steps), F.slice(gaps, F.lit(1), F.size(matches)), lambda before, gap: before + gap
-    )
-    made = F.zip_with(
-        F.arrays_zip(starts.alias("s"), lengths.alias("n")),
-        ok,
-        lambda at, good: F.when(
-            good,
-            F.struct(
-                at["s"].alias("start"),
-                F.lit(rank).alias("rank"),
-                (at["s"] + at["n"]).alias("end"),
-                F.lit(kind).alias("kind"),
+
+    def placed(matches: Column, gaps: Column) -> Column:
+        lengths = F.transform(matches, lambda m: F.length(m).cast("long"))
+        # One step for each match: the gap before it, and the match.
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), lengths, lambda g, n: g + n)
+        ends = let(steps, lambda own: F.zip_with(_starts(own), own, lambda before, step: before + step))
+        at = F.zip_with(
+            ends,
+            lengths,
+            lambda end, n: F.struct(
+                (end - n).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")
             ),
-        ),
-    )
-    none = F.array().cast(SPAN)
-    some = F.size(matches) > 0
-    return F.when(some, F.filter(made, lambda s: s.isNotNull())).otherwise(none)
+        )
+        chosen = F.zip_with(at, passes(matches), lambda span, good: F.when(good, span))
+        return F.filter(chosen, lambda span: span.isNotNull())
+
+    def all_of(matches: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
+        some = let(gaps, lambda own: placed(matches, own))
+        return F.when(F.size(matches) > 0, some).otherwise(F.array().cast(SPAN))
+
+    return let(found(text, pattern), all_of)
 
 
 def listed(spans_: Column) -> Column:

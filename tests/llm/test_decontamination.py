@@ -1,0 +1,68 @@
+from collections import Counter
+
+import pytest
+
+import brute
+from caseflow.llm import decontamination
+from conftest import TABLES, awkward_rows
+
+ITEMS = [
+    (1, "shared1 shared2 shared3 shared4 shared5 shared6 shared7 shared8 other9 words10"),
+    (2, " ".join(f"shared{at}" for at in range(40))),
+    (3, "Two Words"), (4, "one"), (5, ""), (6, None), (None, "one"),
+    (7, "same line same line same line other"), (8, "w1 w2 w3 w4 w5 w6"), (2, "second text of an item with an id"),
+]
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    schema = "item_id long, text string, hits string"
+    return spark.createDataFrame([(*row, "?") for row in ITEMS], schema)
+
+
+def wanted(rows, items):
+    known = [(i, t) for i, t in items if i is not None]
+    out = Counter()
+    for doc, text in rows:
+        found = brute.contained(text, known)
+        out[(doc, bool(found), len(found), ",".join(map(str, found)))] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [1_000_000, 1])
+def test_contamination(spark, monkeypatch, awkward, items, documents, document_rows, block):
+    monkeypatch.setattr(decontamination, "BLOCK_SHINGLES", block)
+    found = decontamination.contamination(awkward, items).drop("containment")
+    assert Counter(map(tuple, found.collect())) == wanted(awkward_rows(), ITEMS)
+    if block > 1:
+        benchmark = spark.read.parquet(f"{TABLES}/benchmark.parquet")
+        rows = [(r["item_id"], r["text"]) for r in benchmark.collect()]
+        found = decontamination.contamination(documents, benchmark).drop("containment")
+        assert Counter(map(tuple, found.collect())) == wanted(document_rows, rows)
+        assert found.where("contaminated").count() > 0
+
+
+def test_nothing(awkward, empty, items):
+    assert decontamination.contamination(empty, items).count() == 0
+    none = decontamination.contamination(awkward, items.limit(0))
+    assert none.where("contaminated").count() == 0 and none.count() == awkward.count()
+    assert decontamination.clean_documents(awkward, items.limit(0)).count() == awkward.count()
+
+
+def test_clean_documents(awkward, items):
+    clean = decontamination.clean_documents(awkward, items)
+    assert clean.columns == awkward.columns
+    kept = Counter({doc: n for (doc, bad, *_), n in wanted(awkward_rows(), ITEMS).items() if not bad and doc})
+    assert Counter(r["doc_id"] for r in clean.collect() if r["doc_id"]) == kept
+
+
+def test_three_quarters_of_an_item_are_enough(spark):
+    item = [f"i{at}" for at in range(84)]  # 80 shingles
+    enough, too_few = " ".join(item[:64]), " ".join(item[:63])
+    docs = spark.createDataFrame(
+        [(1, "x " * 5000 + enough + " y" * 5000), (2, "x " * 50 + too_few)], "doc_id long, text string"
+    )
+    benchmark = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontamination.contamination(docs, benchmark).collect()}
+    assert found[1]["items"] == "9" and found[1]["containment"] == 0.75
+    assert not found[2]["contaminated"] and found[2]["containment"] == 0

@@ -1,0 +1,136 @@
+"""Near duplicates and repeated byte strings."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import brute
+from caseflow.llm import ngram_join, suffix_dedup
+from caseflow.llm.graph import components
+from conftest import awkward_rows
+
+
+def wanted_components(rows):
+    root = brute.components([text for _, text in rows])
+    least = {}
+    for (doc, _), at in zip(rows, root, strict=True):
+        if doc is not None:
+            least[at] = min(least.get(at, doc), doc)
+    sizes = [len(brute.shingles(text)) for _, text in rows]
+    return Counter(
+        (doc, n, least.get(at) if n else doc) for (doc, _), n, at in zip(rows, sizes, root, strict=True)
+    )
+
+
+def near_copies():
+    """Families of copies with more and more words changed, and a passage that all share."""
+    chance = random.Random(1)
+    passage = [f"p{at}" for at in range(30)]
+    rows = []
+    for family in range(6):
+        base = [f"f{family}w{chance.randrange(900)}" for _ in range(120)]
+        for copy in range(25):
+            own = [w if chance.random() > 0.004 * copy else f"x{chance.random()}" for w in base]
+            rows.append((1000 * family + copy, " ".join(passage + own)))
+    return rows
+
+
+@pytest.mark.parametrize("block, sent", [(1500, 2_000_000), (10, 0)])
+def test_near_duplicates(spark, monkeypatch, awkward, documents, document_rows, block, sent):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SENT_ROWS", sent)
+    made = spark.createDataFrame(near_copies(), "doc_id long, text string").repartition(7)
+    for frame, rows in ((awkward, awkward_rows()), (documents, document_rows), (made, near_copies())):
+        found = Counter(map(tuple, ngram_join.near_duplicates(frame).collect()))
+        assert found == wanted_components(rows)
+
+
+def test_near_duplicates_of_nothing(empty):
+    assert ngram_join.near_duplicates(empty).count() == 0
+    assert ngram_join.one_of_each(empty).count() == 0
+
+
+def test_one_of_each(awkward):
+    kept = ngram_join.one_of_each(awkward)
+    assert kept.columns == awkward.columns
+    rows = awkward_rows()
+    root = brute.components([text for _, text in rows])
+    kept_rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    full = [(row, at) for row, at in zip(rows, root, strict=True) if brute.shingles(row[1])]
+    assert len(kept_rows) == len({at for _, at in full}) + len(rows) - len(full)
+    assert kept_rows.count((7, rows[8][1])) == 1 and not any(doc in (8, 10) for doc, _ in kept_rows)
+
+
+def test_divide_skip_finds_what_all_pairs_find():
+    chance = random.Random(3)
+    sets = []
+    for _ in range(120):
+        base = chance.choice(sets).tolist() if sets and chance.random() < 0.7 else chance.sample(range(5000), 60)
+        changed = [x if chance.random() > 0.06 else chance.randrange(5000) for x in base]
+        sets.append(np.unique(changed))
+    links = ngram_join.divide_skip(sets, np.asarray([len(s) for s in sets]))
+    root = list(range(len(sets)))
+    for _ in range(len(sets)):
+        for a in range(len(sets)):
+            for b in range(a):
+                common = len(np.intersect1d(sets[a], sets[b]))
+                if ngram_join.linked(common, len(sets[a]), len(sets[b])):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert [links.root(at) for at in range(len(sets))] == root
+
+
+def test_components_of_a_long_path(spark):
+    path = [(at, at + 1) for at in range(60)] + [(100, 101), (102, 101), (7, 7)]
+    found = components(spark.createDataFrame(path, "a long, b long"))
+    assert Counter(map(tuple, found.collect())) == Counter(
+        [(at, 0) for at in range(61)] + [(at, 100) for at in (100, 101, 102)]
+    )
+
+
+def repeats():
+    """Texts that share passages in places, with hot edges, periods and copies."""
+    chance = random.Random(2)
+    letters = "abcdefgh "
+    passage = "".join(chance.choice(letters) for _ in range(700))
+    rows = [(at, "".join(chance.choice(letters) for _ in range(300)) + passage[: 150 + 5 * at]) for at in range(60)]
+    rows += [(100 + at, passage[at : at + 201] + "é" * at) for at in range(20)]
+    rows += [(200, "ab" * 400), (201, "y" * 199), (202, "z" * 200), (203, "z" * 201), (204, passage), (204, passage)]
+    return rows
+
+
+@pytest.mark.parametrize("hot, sent", [(1000, 2_000_000), (5, 0), (0, 2_000_000)])
+def test_suffix_dedup(spark, monkeypatch, awkward, documents, document_rows, hot, sent):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SENT_TEXTS", sent)
+    made = spark.createDataFrame(repeats(), "doc_id long, text string").repartition(9)
+    cases = [(made, repeats())]
+    if hot != 5:
+        cases.append((awkward, [r for r in awkward_rows()]))
+    if hot == 1000:
+        cases.append((documents, document_rows))
+    for frame, rows in cases:
+        wanted = Counter(
+            (doc, len((text or "").encode()), n, runs, brute.sha(kept))
+            for (doc, text), (n, runs, kept) in zip(rows, brute.removed([t for _, t in rows]), strict=True)
+        )
+        found = suffix_dedup.deduplicated(frame).drop("kept").collect()
+        assert Counter(map(tuple, found)) == wanted
+
+
+def test_suffix_dedup_of_nothing(empty):
+    assert suffix_dedup.deduplicated(empty).count() == 0
+
+
+def test_backward_extension_finds_what_counting_finds():
+    chance = random.Random(4)
+    base = bytes(chance.choice(b"ab") for _ in range(90))
+    pieces = [base[chance.randrange(30) :] + bytes(chance.choice(b"abc") for _ in range(20)) for _ in range(12)]
+    pieces += [b"", b"a", b"a" * 40]
+    for length in (1, 2, 7, 16, 30):
+        times = Counter(p[at : at + length] for p in pieces for at in range(len(p) - length + 1))
+        wanted = [
+            [at for at in range(len(p) - length + 1) if times[p[at : at + length]] > 1] for p in pieces
+        ]
+        assert [s.tolist() for s in suffix_dedup.repeated_starts(pieces, length)] == wanted

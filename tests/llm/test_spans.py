@@ -1,0 +1,97 @@
+"""Secret scans and personal data."""
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from caseflow.llm import pii, secrets
+from caseflow.llm.spans import listed
+from conftest import awkward_rows
+
+
+def base_of(frame):
+    rows = frame.select("doc_id", listed(F.col("base")).alias("base")).collect()
+    return Counter(map(tuple, rows))
+
+
+@pytest.mark.parametrize(
+    "operator, kinds", [(secrets.secrets, brute.SECRETS), (pii.found_personal_data, brute.PERSONAL)]
+)
+def test_base_spans(operator, kinds, awkward, empty, documents, document_rows):
+    for frame, rows in ((awkward, awkward_rows()), (documents, document_rows)):
+        wanted = Counter((doc, brute.listed(brute.spans(kinds, text))) for doc, text in rows)
+        assert base_of(operator(frame)) == wanted
+    assert operator(empty).count() == 0
+
+
+def secret_spans(spark, *texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secrets.secrets(frame).orderBy("doc_id").select(listed(F.col("linked")))
+    return [row[0] for row in rows.collect()]
+
+
+def test_weak_parts_count_only_together(spark):
+    identifier, secret = "X7Q2M9KD41PZ8RTB", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLE9"
+    endpoint = "https://store.example.org/v1"
+    far = " " * (secrets.SCOPE + 50)
+    found = secret_spans(
+        spark,
+        identifier,
+        secret,
+        endpoint,
+        f"{identifier} {secret}",
+        f"{endpoint} {identifier}",
+        f"{secret} at {endpoint}",
+        f"{identifier}{far}{secret}",
+        f"{secret} and {secret}",
+        f"{endpoint} password=longenough1",
+    )
+    assert found[:3] == ["", "", ""]
+    assert found[3] == "weak_id:0:16,weak_secret:17:53"
+    assert found[4] == "" and found[6] == "" and found[7] == ""
+    assert found[5] == "weak_secret:0:36,endpoint:40:68"
+    assert found[8] == "endpoint:0:28"
+
+
+def test_scope_is_inclusive_over_bins(spark):
+    identifier, secret = "X7Q2M9KD41PZ8RTB", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLE9"
+    for shift in (0, 1, 399):
+        near, far = (
+            " " * shift + identifier + " " * (secrets.SCOPE - len(identifier) + more) + secret
+            for more in (0, 1)
+        )
+        found = secret_spans(spark, near, far)
+        assert found[0].count(":") == 4 and found[1] == ""
+
+
+def test_a_term_that_reveals_an_entity_is_added(spark):
+    told = [f"Text {at} says Zebulon wrote from z@private.example.org about it {at}" for at in range(4)]
+    other = [f"Text {at} says something about it and more words like said wrote from" for at in range(60)]
+    frame = spark.createDataFrame(list(enumerate(told + other)), "doc_id long, text string")
+    rows = pii.found_personal_data(frame).orderBy("doc_id").select(listed(F.col("spans"))).collect()
+    start, mail = told[0].index("Zebulon"), told[0].index("z@")
+    assert rows[0][0] == f"term_removed:{start}:{start + 7},email:{mail}:{mail + 21}"
+    assert all(row[0] == "" for row in rows[4:])
+    new = pii.sanitised(frame).orderBy("doc_id").collect()
+    assert new[0]["text"] == "Text 0 says  wrote from [EMAIL] about it 0"
+    assert [row["text"] for row in new[4:]] == other
+
+
+def test_one_meeting_or_its_copies_reveal_nothing(spark):
+    text = "Zebulon wrote from z@private.example.org"
+    frame = spark.createDataFrame([(at, text) for at in range(9)], "doc_id long, text string")
+    rows = pii.found_personal_data(frame).select(listed(F.col("spans"))).distinct().collect()
+    assert rows[0][0] == "email:19:40"
+
+
+def test_sanitised_keeps_rows_and_columns(awkward):
+    new = pii.sanitised(awkward)
+    assert new.columns == awkward.columns and new.count() == awkward.count()
+    before = Counter(r["doc_id"] for r in awkward.collect())
+    assert Counter(r["doc_id"] for r in new.collect()) == before
+    texts = {r["doc_id"]: r["text"] for r in new.collect()}
+    assert texts[1] is None and texts[4] == "one"
+    assert texts[15].startswith("mail [EMAIL], [EMAIL][EMAIL] +1 (555) 555-0100 [IP] 10.0.0.256 [IP].5")
+    assert texts[16] == "[CARD] and 4111-1111-1111-1112 " + "7" * 30
