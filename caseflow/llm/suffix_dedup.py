@@ -249,22 +249,28 @@ def _search(batch: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(context, part, core) of hot contexts.
+    """(context, part, core, content, first, last) of hot contexts.
 
     A part are the windows that start ``PART * part`` to ``PART * part + PART - 1`` bytes before the
-    anchor, whether the context has all of them or not; its core is what all of them contain.
+    anchor, whether the context has all of them or not; its core is what all of them contain, its
+    content what the context's own ones, ``first`` to ``last``, cover.
     """
+    names = ["context", "part", "core", "content", "first", "last"]
     for batch in batches:
         rows = []
         for context, piece, at in zip(batch["context"], batch["piece"], batch["at"], strict=True):
-            first = at - (len(piece) - LENGTH)
-            part = np.arange(first // PART, at // PART + 1)
+            windows = len(piece) - LENGTH + 1
+            part = np.arange((at - windows + 1) // PART, at // PART + 1)
             start = at - PART * part
-            core = Hashes(bytes(piece)).of(start, start + LENGTH - PART + 1).view(np.int64)
-            rows.append((np.full(len(part), context), part, core))
+            hashes = Hashes(bytes(piece))
+            core = hashes.of(start, start + LENGTH - PART + 1)
+            first, last = np.maximum(start - PART + 1, 0), np.minimum(start, windows - 1)
+            content = hashes.of(first, last + LENGTH)
+            content = _mix(content + (at - first).astype(np.uint64) * np.uint64(_BASE) + (last - first).astype(np.uint64))
+            rows.append((np.full(len(part), context), part, core.view(np.int64), content.view(np.int64), first, last))
         if rows:
-            context, part, core = map(np.concatenate, zip(*rows, strict=True))
-            yield pd.DataFrame({"context": context, "part": part.astype(np.int32), "core": core})
+            columns = dict(zip(names, map(np.concatenate, zip(*rows, strict=True)), strict=True))
+            yield pd.DataFrame(columns).astype({"part": "int32", "first": "int32", "last": "int32"})
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,15 +302,29 @@ def _repeated_values(frame: DataFrame, value: str) -> DataFrame:
 
 
 def _hot_runs(hot: DataFrame) -> DataFrame:
-    """Repeated windows of the contexts of hot anchors by counting hashes, first of what whole parts of
-    windows have in common, then of the windows of the parts that are left. No group is gathered."""
-    cores = hot.mapInPandas(_cores, "context long, part int, core long")
-    parts = _repeated_values(cores, "core").groupBy("context").agg(F.collect_set("part").alias("parts"))
-    windows = hot.join(parts, "context").select("context", "piece", "at", "parts")
+    """Repeated windows of the contexts of hot anchors by counting hashes; no group is gathered.
+
+    A part with the content of another is repeated throughout. Of each content one part goes on, if
+    its core is that of another content; the windows of those are counted one by one.
+    """
+    schema = "context long, part int, core long, content long, first int, last int"
+    parts = stored(hot.mapInPandas(_cores, schema))
+    contents = parts.groupBy("content").agg(
+        F.count("*").alias("times"), F.min(F.struct("context", "part", "core")).alias("one")
+    )
+    covered = (
+        parts.join(contents.where("times > 1").select("content"), "content")
+        .groupBy("context")
+        .agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    )
+    distinct = _repeated_values(contents.select("one.*"), "core")
+    wanted = distinct.groupBy("context").agg(F.collect_set("part").alias("parts"))
+    windows = hot.join(wanted, "context").select("context", "piece", "at", "parts")
     windows = windows.mapInPandas(_windows, "context long, start int, window long")
     starts = F.sort_array(F.collect_set("start")).alias("starts")
     found = _repeated_values(windows, "window").groupBy("context").agg(starts)
-    return found.mapInPandas(_runs_of, RUNS)
+    every = found.mapInPandas(_runs_of, RUNS).unionByName(covered)
+    return every.groupBy("context").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
