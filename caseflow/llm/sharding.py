@@ -18,23 +18,27 @@ from caseflow.llm.common import stored, table, texts, width
 
 SHARDS = 40
 ROUNDS = 4
-#: Slices of the order of groups within a label; each is split further for large groups.
+SLACK = 0.05
+#: Slices of the order of groups within a label.
 SLICES = 8
+#: Groups of more documents than this are split over tasks when their places are counted.
+LARGE = 256
 
 
 def favourites(state: DataFrame) -> DataFrame:
-    """(group, best): the shard with most of a group's documents; ties by a hash, to spread them."""
+    """(group, best, total): the shard with most of a group's documents; ties by a hash, to spread them."""
     rank = F.struct("n", F.xxhash64("group", "shard"))
-    return state.groupBy("group").agg(F.max_by("shard", rank).alias("best"))
+    return state.groupBy("group").agg(F.max_by("shard", rank).alias("best"), F.sum("n").alias("total"))
 
 
 def shares(moves: dict[tuple[int, int], int], sizes: dict[int, int], shards: int) -> list[float]:
     """Which part of those who want to come each shard admits.
 
-    A shard's quota is its room below the equal share plus what may leave it; what may leave depends on
-    the other shards, so the shares are lowered until they agree.
+    A shard's quota is its room below its capacity, the equal share and some slack, plus what may leave
+    it; what may leave depends on the other shards, so the shares are lowered until they agree. The
+    slack lets documents move at all where all shards are full; the last cut makes sizes equal again.
     """
-    capacity = -(-sum(sizes.values()) // shards)
+    capacity = (1 + SLACK) * sum(sizes.values()) / shards
     admitted = [1.0] * shards
     coming = [sum(n for (_, b), n in moves.items() if b == shard) for shard in range(shards)]
     for _ in range(50):
@@ -48,7 +52,7 @@ def shares(moves: dict[tuple[int, int], int], sizes: dict[int, int], shards: int
 
 
 def propagated(groups: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """(group, label) from (group, shard, n), the state at the start."""
+    """(group, label, total) from (group, shard, n), the state at the start."""
     state = stored(groups)
     for turn in range(rounds):
         wanted = state.join(favourites(state), "group")
@@ -73,15 +77,16 @@ def propagated(groups: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFram
 
 
 def placed(frame: DataFrame, shards: int) -> DataFrame:
-    """Adds ``shard`` and ``slot`` to rows with a ``label``: equal shards along label and group.
+    """Adds ``shard`` and ``slot`` to rows with ``label`` and ``total``: equal shards along label and group.
 
     A row's place is the number of rows in the buckets before its own, plus its rank there. A bucket
-    is a slice of a label's groups and, so that one large group does not fill it, of the row hashes.
+    holds some whole groups of a label; only large groups, which come last, are dealt to several.
     """
     splits = width(frame.sparkSession)
-    bucket = F.pmod(F.shiftright("group", 40), F.lit(SLICES)) * splits + F.pmod(
-        F.xxhash64("doc_id", "text_crc32", "size"), F.lit(splits)
-    )
+    large = F.col("total") > LARGE
+    split = F.when(large, F.xxhash64("doc_id", "text_crc32", "size")).otherwise(F.xxhash64("group"))
+    slice_ = F.pmod(F.shiftright("group", 40), F.lit(SLICES))
+    bucket = (large.cast("int") * SLICES + slice_) * splits + F.pmod(split, F.lit(splits))
     frame = frame.withColumn("bucket", bucket)
     sizes = frame.groupBy("label", "bucket").count()
     before = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,7 +109,7 @@ def placed(frame: DataFrame, shards: int) -> DataFrame:
     # The first place of a shard is shard * total / shards, rounded up.
     first = F.expr(f"(cast(shard as bigint) * {max(1, total)}L + {shards - 1}L) div {shards}L")
     return index.withColumn("slot", (F.col("at") - first).cast("long")).drop(
-        "own", "first", "at", "bucket"
+        "own", "first", "at", "bucket", "total"
     )
 
 

@@ -49,5 +49,5 @@ def test_quotas_hold():
     admitted = sharding.shares(moves, sizes, 3)
     into = {b: sum(n * admitted[b] for (_, x), n in moves.items() if x == b) for b in range(3)}
     out = {a: sum(n * admitted[b] for (x, b), n in moves.items() if x == a) for a in range(3)}
-    assert all(sizes[s] + into[s] - out[s] <= 100 + 1e-6 for s in range(3))
-    assert admitted[0] == 1
+    assert all(sizes[s] + into[s] - out[s] <= 100 * (1 + sharding.SLACK) + 1e-6 for s in range(3))
+    assert admitted[0] == 1 and 0.5 < admitted[1] < 1
