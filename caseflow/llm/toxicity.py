@@ -227,7 +227,9 @@ def candidate_terms(text: str | None) -> set[str]:
 
 
 def training_set(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """(text, toxic) of at most ``rows`` labelled documents outside the held-out fold.
+    """(text, toxic, half) of at most ``rows`` labelled documents outside the held-out fold.
+
+    Equal texts are in one half.
 
     A document with different labels is left out, as is one without an id.
     """
@@ -241,7 +243,8 @@ def training_set(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
         .limit(rows)  # the documented bound of the training sample
         .select("doc_id", "toxic")
     )
-    return docs.join(F.broadcast(usable), "doc_id").select("text", "toxic")
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")
+    return docs.join(F.broadcast(usable), "doc_id").select("text", "toxic", half)
 
 
 def fold(id_column: str):
@@ -295,41 +298,58 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Lexicon and weights from a bounded training sample. Without labels every score is one half."""
+    """Lexicon and weights from a bounded training sample. Without labels every score is one half.
+
+    The model must not trust words because they came from the very documents it is fitted on. So the
+    documents of each half are measured with a lexicon of the other half; the one that is kept is learned
+    from both.
+    """
     spark = docs.sparkSession
     sample = stored(training_set(docs, labels))
+    kinds = [(half, toxic) for half in (0, 1) for toxic in (0, 1)]
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts: dict[str, list[int]] = {}
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+            for text, toxic, half in zip(batch["text"], batch["toxic"], batch["half"], strict=True):
                 for term in candidate_terms(text):
-                    counts.setdefault(term, [0, 0])[int(toxic)] += 1
-            yield pd.DataFrame([(t, p, n) for t, (n, p) in counts.items()], columns=["term", "pos", "neg"])
+                    counts.setdefault(term, [0, 0, 0, 0])[2 * half + int(toxic)] += 1
+            rows = [(term, *n) for term, n in counts.items()]
+            yield pd.DataFrame(rows, columns=["term", *(f"n{h}{t}" for h, t in kinds)])
 
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    totals = dict.fromkeys(kinds, 0)
+    for row in sample.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect():
+        totals[row["half"], row["toxic"]] = row["n"]
     counts = (
-        sample.mapInPandas(terms, "term string, pos long, neg long")
+        sample.mapInPandas(terms, "term string, " + ", ".join(f"n{h}{t} long" for h, t in kinds))
         .groupBy("term")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .where(F.col("pos") >= SUPPORT)
-        .where(F.col("pos") * (totals.get(0, 0) + 1) > 2 * (F.col("neg") + 0.5) * (totals.get(1, 0) + 1))
+        .agg(*(F.sum(f"n{h}{t}").alias(f"n{h}{t}") for h, t in kinds))
+        .where(F.col("n01") + F.col("n11") >= SUPPORT)
         .toPandas()  # bounded by the training sample
         .sort_values("term")
     )
-    lexicon = learned_lexicon(counts, totals.get(1, 0), totals.get(0, 0))
-    sent = spark.sparkContext.broadcast(lexicon)
+
+    def lexicon_of(halves: tuple[int, ...]) -> list[Entry]:
+        own = pd.DataFrame(
+            {
+                "term": counts["term"],
+                "pos": sum(counts[f"n{h}1"] for h in halves),
+                "neg": sum(counts[f"n{h}0"] for h in halves),
+            }
+        )
+        return learned_lexicon(own, *(sum(totals[h, t] for h in halves) for t in (1, 0)))
+
+    sent = spark.sparkContext.broadcast([lexicon_of((1,)), lexicon_of((0,))])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(sent.value)
+        readers = [Reader(lexicon) for lexicon in sent.value]
         for batch in batches:
-            yield pd.DataFrame(
-                {"m": [reader.measures(t) for t in batch["text"]], "toxic": batch["toxic"]}
-            )
+            found = [readers[h].measures(t) for t, h in zip(batch["text"], batch["half"], strict=True)]
+            yield pd.DataFrame({"m": found, "toxic": batch["toxic"]})
 
     rows = sample.mapInPandas(measure, "m array<double>, toxic int").toPandas()
     measures = np.stack(rows["m"].to_list()) if len(rows) else np.zeros((0, len(MEASURES)))
-    return Model(lexicon, fitted(measures, rows["toxic"].to_numpy(float)))
+    return Model(lexicon_of((0, 1)), fitted(measures, rows["toxic"].to_numpy(float)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text_column: str = "text") -> DataFrame:
