@@ -21,12 +21,12 @@ def expected(document_rows, benchmark):
     frame = np.asarray(measures)
     names = quality_rules.FEATURES
     con = duckdb.connect()
-    con.execute("CREATE TABLE m (" + ", ".join(f"{n} BIGINT" for n in names) + ", at BIGINT)")
+    con.execute("CREATE TABLE m (" + ", ".join(f"{n} BIGINT" for n in names) + ", place BIGINT)")
     con.executemany("INSERT INTO m VALUES (" + "?," * len(names) + "?)", [(*map(int, r), i) for i, r in enumerate(frame)])
     votes = []
     for rule in quality_rules.RULES:
         bad, good = (e.replace("@", "") for e in (rule.bad, rule.good))
-        sql = f"SELECT CASE WHEN {bad} THEN 0 WHEN {good} THEN 1 ELSE -1 END FROM m ORDER BY at"
+        sql = f"SELECT CASE WHEN {bad} THEN 0 WHEN {good} THEN 1 ELSE -1 END FROM m ORDER BY place"
         votes.append([row[0] for row in con.execute(sql).fetchall()])
     votes = np.asarray(votes).T
     model = quality_rules.fit_votes(votes, np.ones(len(votes)))  # row by row, not by pattern

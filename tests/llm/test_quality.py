@@ -58,7 +58,7 @@ def test_no_votes_at_all():
 
 def accuracy(spark, found):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    rows = found.join(labels, "doc_id").select("kept", "quality").collect()
+    rows = found.select("doc_id", "kept").join(labels, "doc_id").select("kept", "quality").collect()
     return np.mean([row["kept"] == bool(row["quality"]) for row in rows])
 
 
