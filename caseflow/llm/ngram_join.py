@@ -75,8 +75,15 @@ def linked(overlap: int, first: int, second: int) -> bool:
 # --- which documents can have a partner -----------------------------------------------------------
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parts(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """The same rows, fewer at a time."""
     for batch in batches:
+        for first in range(0, len(batch), rows):
+            yield batch.iloc[first : first + rows]
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in _parts(batches):
         hashes = [shingle_hashes(text) for text in batch["text"]]
         yield pd.DataFrame(
             {
@@ -233,7 +240,7 @@ def _search(batch: pd.DataFrame) -> pd.DataFrame:
 
 
 def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in _parts(batches):
         hashes = [shingle_hashes(text) for text in batch["text"]]
         yield pd.DataFrame(
             {"key": [set_key(h) for h in hashes], "shingles": [h.view(np.int64) for h in hashes]}
