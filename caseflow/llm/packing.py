@@ -31,7 +31,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Lengths above this share of a sequence count as large; groups of equal cardinality they are put into.
 LARGE_SHARE, GROUPS = 1 / 8, 96
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 600_000
 
 
 class WordTokenizer:
