@@ -4,8 +4,9 @@ Information content decides what else must go. An entity is a value the base pat
 e-mail address; its information content is -log p over the documents of the corpus. A term written near
 it reveals it as far as their pointwise mutual information reaches that content: PMI(t; c) = IC(c) means
 that the term occurs with this entity only. Terms with PMI >= IC / ALPHA are added: removed where they
-reveal almost all of it, else generalised. Counts cover every document; but a term and an entity must
-have met in several distinct texts, for one meeting is no evidence, nor are its copies.
+reveal almost all of it, else generalised. Counts cover every document. Every entity is judged, however
+rare: p(c | t) enters with its lower bound at even odds, so that what few distinct texts say counts less,
+and copies of a text say nothing new.
 
 DataFrame functions only.
 """
@@ -20,8 +21,6 @@ from caseflow.llm.spans import SPAN, found, listed, of_kind, spans
 
 #: Disclosure threshold: a term may carry at most 1 / ALPHA of an entity's information content.
 ALPHA = 1.1
-#: Distinct texts in which a term and an entity must meet before they count as associated.
-SUPPORT = 3
 #: Share of the content from which on a term is removed rather than generalised.
 REMOVED = 0.98
 #: Code points on either side of an entity that are its context.
@@ -133,16 +132,24 @@ def document_counts(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
+def likely(both: Column, n: Column, texts_: Column) -> Column:
+    """Lower bound at even odds of p(c | t), observed as ``both`` of ``n`` documents in ``texts_`` distinct ones.
+
+    It is the median of Beta(k, n - k + 1), (k - 1/3) / (n + 1/3) to a hundredth, where copies are left out of k
+    and, in proportion, of n: one meeting of one gives 1/2, four of four 0.85.
+    """
+    return (texts_ - 1 / 3) / (texts_ * n / both + 1 / 3)
+
+
 def disclosing(terms: DataFrame, rows: DataFrame, found_rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(entity, term, share): terms that carry more than 1 / alpha of an entity's information content.
 
-    ``share`` is PMI(t; c) / IC(c) = 1 + log p(c | t) / IC(c), at most 1.
+    ``share`` is PMI(t; c) / IC(c) = 1 + log p(c | t) / IC(c) as observed, at most 1; the threshold holds for
+    the share with the lower bound of p(c | t).
     """
     total = max(2, rows.count())
-    together = (
-        terms.groupBy("entity", "term")
-        .agg(F.count_distinct("key").alias("both"), F.count_distinct("text_hash").alias("texts"))
-        .where(F.col("texts") >= SUPPORT)
+    together = terms.groupBy("entity", "term").agg(
+        F.count_distinct("key").alias("both"), F.count_distinct("text_hash").alias("texts")
     )
     entities = (
         found_rows.select("key", F.explode("near").alias("near"))
@@ -150,13 +157,13 @@ def disclosing(terms: DataFrame, rows: DataFrame, found_rows: DataFrame, alpha:
         .agg(F.count_distinct("key").alias("n_entity"))
     )
     content = F.log(F.lit(float(total)) / F.col("n_entity"))
-    share = 1 + F.log(F.least(F.lit(1.0), F.col("both") / F.col("n"))) / content
+    n = F.greatest("n", "both")
+    bound = 1 + F.log(likely(F.col("both"), n, F.col("texts"))) / content
     return (
         together.join(document_counts(rows), "term")
         .join(entities, "entity")
-        .withColumn("share", F.when(content > 0, share).otherwise(0.0))
-        .where(F.col("share") >= 1 / alpha)
-        .select("entity", "term", "share")
+        .where((content > 0) & (bound >= 1 / alpha))
+        .select("entity", "term", (1 + F.log(F.col("both") / n) / content).alias("share"))
     )
 
 

@@ -86,6 +86,16 @@ def test_one_meeting_or_its_copies_reveal_nothing(spark):
     assert rows[0][0] == "email:19:40"
 
 
+def test_an_entity_of_one_text_is_judged(spark):
+    """One meeting is enough where the corpus is large, not where it is small; copies do not change that."""
+    told = "Zebulon wrote from z@private.example.org"
+    for size, copies, added in ((100, 1, 0), (3000, 1, 1), (100, 5, 0)):
+        texts = [told] * copies + [f"somebody wrote from here {at}" for at in range(size)]
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = pii.found_personal_data(frame).where("doc_id = 0").select(listed(F.col("spans"))).collect()
+        assert rows[0][0] == "term_removed:0:7," * added + "email:19:40"
+
+
 def test_sanitised_keeps_rows_and_columns(awkward):
     new = pii.sanitised(awkward)
     assert new.columns == awkward.columns and new.count() == awkward.count()
