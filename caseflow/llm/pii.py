@@ -1,10 +1,10 @@
 """Personal data: base patterns, and terms that reveal a found entity by co-occurrence.
 
 Information content decides what else must go. An entity is a value the base patterns find, such as one
-e-mail address; its information content is -log p over the documents of the corpus. A term written near
-it reveals it as far as their pointwise mutual information reaches that content: PMI(t; c) = IC(c) means
+e-mail address; its information content is -log p over the documents of the corpus. A term in a document
+that holds it reveals it as far as their pointwise mutual information reaches that content: PMI(t; c) = IC(c) means
 that the term occurs with this entity only. Terms with PMI >= IC / ALPHA are added: removed where they
-reveal almost all of it, else generalised. Counts cover every document. Every entity is judged, however
+reveal almost all of it, else generalised, wherever they stand in a document that holds the entity. Counts cover every document. Every entity is judged, however
 rare: p(c | t) enters with its lower bound at even odds, so that what few distinct texts say counts less,
 and copies of a text say nothing new.
 
@@ -23,8 +23,6 @@ from caseflow.llm.spans import SPAN, found, listed, of_kind, spans
 ALPHA = 1.1
 #: Share of the content from which on a term is removed rather than generalised.
 REMOVED = 0.98
-#: Code points on either side of an entity that are its context.
-CONTEXT = 60
 
 # Each pattern is the plain one written so that it needs no backtracking: a match starts where its first
 # run starts, or where the last match ended.
@@ -79,50 +77,56 @@ def base_spans(text: Column, frame: DataFrame) -> DataFrame:
 
 
 def mentions(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, key) to (doc_id, key, text_hash, base, near), without the text.
+    """Rows (doc_id, text, key) to (doc_id, key, base, entities, text), the text only beside base spans."""
 
-    ``near`` has for each base span its value and its context with the place where that starts.
-    """
-    frame = base_spans(F.col("text"), rows)
-
-    def context(span: Column) -> Column:
-        begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        return F.struct(
-            F.substring("text", span["start"].cast("int") + 1, (span["end"] - span["start"]).cast("int")).alias("value"),
-            span["kind"].alias("kind"),
-            begin.alias("begin"),
-            F.substring("text", begin.cast("int") + 1, (span["end"] + CONTEXT - begin).cast("int")).alias("context"),
-        )
-
-    return frame.select(
-        "doc_id", "key", F.xxhash64("text").alias("text_hash"), "base", F.transform("base", context).alias("near")
+    def entity(span: Column) -> Column:
+        size = (span["end"] - span["start"]).cast("int")
+        return F.xxhash64(span["kind"], F.substring("text", span["start"].cast("int") + 1, size))
+
+    return base_spans(F.col("text"), rows).select(
+        "doc_id",
+        "key",
+        "base",
+        F.array_distinct(F.transform("base", entity)).alias("entities"),
+        F.when(F.size("base") > 0, F.col("text")).alias("text"),
     )
 
 
-def context_terms(found_rows: DataFrame) -> DataFrame:
-    """(key, text_hash, entity, term, start, end): the words in the contexts of entities.
+def holders(found_rows: DataFrame) -> DataFrame:
+    """(key, docs, text, base, entities): the documents that hold entities, repeated rows once with their number."""
+    return (
+        found_rows.where(F.size("base") > 0)
+        .groupBy("key")
+        .agg(F.count("*").alias("docs"), *[F.first(c).alias(c) for c in ("text", "base", "entities")])
+    )
+
+
+def circles(held: DataFrame) -> DataFrame:
+    """(key, text_hash, docs, circle, n_entity): which entities each document holds.
 
-    Words that a context cuts at its edges count as they stand, and those inside a base span not at all.
+    Entities of exactly the same documents have the same counts with every term; they are one circle.
     """
-    near = found_rows.where(F.size("near") > 0).select(
-        "key", "text_hash", "base", F.explode("near").alias("near")
+    each = held.select(
+        "key", F.xxhash64("text").alias("text_hash"), "docs", F.explode("entities").alias("entity")
     )
-    text = F.col("near.context")
+    marks = [F.bit_xor(F.xxhash64("key", F.lit(salt))) for salt in (0, 1)]
+    alike = each.groupBy("entity").agg(
+        F.sum("docs").alias("n_entity"), F.xxhash64(F.count("*"), *marks).alias("circle")
+    )
+    return each.join(alike, "entity").drop("entity").distinct()
+
+
+def occurrences(held: DataFrame) -> DataFrame:
+    """(key, term, start, end): every whole word of the documents, but for those inside a base span."""
+    text = F.col("text")
     places = spans(text, TERM, "term", 0, lambda m: F.transform(m, lambda _: F.lit(True)))
-    words = near.select(
-        "key", "text_hash", "base", "near",
-        F.explode(F.arrays_zip(places.alias("words"), found(text, TERM).alias("m"))).alias("w"),
-    )
-    start = F.col("near.begin") + F.col("w.words.start")
-    end = F.col("near.begin") + F.col("w.words.end")
+    words = held.select(
+        "key", "base", F.explode(F.arrays_zip(places.alias("at"), found(text, TERM).alias("m"))).alias("w")
+    )
+    start, end = F.col("w.at.start"), F.col("w.at.end")
     inside = F.exists("base", lambda b: (b["start"] < end) & (start < b["end"]))
     return words.where(~inside).select(
-        "key",
-        "text_hash",
-        F.xxhash64("near.kind", "near.value").alias("entity"),
-        F.lower("w.m").alias("term"),
-        start.alias("start"),
-        end.alias("end"),
+        "key", F.lower("w.m").alias("term"), start.alias("start"), end.alias("end")
     )
 
 
@@ -141,29 +145,42 @@ def likely(both: Column, n: Column, texts_: Column) -> Column:
     return (texts_ - 1 / 3) / (texts_ * n / both + 1 / 3)
 
 
-def disclosing(terms: DataFrame, rows: DataFrame, found_rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(entity, term, share): terms that carry more than 1 / alpha of an entity's information content.
+def disclosing(rows: DataFrame, held: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(key, term, share): for each document the words that carry over 1 / alpha of the content of an entity in it.
 
     ``share`` is PMI(t; c) / IC(c) = 1 + log p(c | t) / IC(c) as observed, at most 1; the threshold holds for
-    the share with the lower bound of p(c | t).
+    the share with the lower bound of p(c | t). Both counts are of documents, wherever the word stands. A
+    word of so many documents that it could not pass if all those of the entity had it is left out first.
     """
-    total = max(2, rows.count())
-    together = terms.groupBy("entity", "term").agg(
-        F.count_distinct("key").alias("both"), F.count_distinct("text_hash").alias("texts")
+    total = float(max(2, rows.count()))
+    around = stored(circles(held))
+
+    def most(n_entity: Column) -> Column:
+        return n_entity * F.pow(total / n_entity, F.lit(1 - 1 / alpha)) * (1 + 1e-9)
+
+    largest = around.agg(F.max("n_entity")).first()[0] or 0
+    counts = document_counts(rows).where(F.col("n") <= most(F.lit(float(max(1, largest)))))
+    words = held.select(
+        "key", F.explode(F.array_distinct(F.transform(found(F.col("text"), TERM), F.lower))).alias("term")
     )
-    entities = (
-        found_rows.select("key", F.explode("near").alias("near"))
-        .groupBy(F.xxhash64("near.kind", "near.value").alias("entity"))
-        .agg(F.count_distinct("key").alias("n_entity"))
+    met = stored(
+        words.join(counts, "term").join(around, "key").where(F.col("n") <= most(F.col("n_entity")))
     )
-    content = F.log(F.lit(float(total)) / F.col("n_entity"))
-    n = F.greatest("n", "both")
-    bound = 1 + F.log(likely(F.col("both"), n, F.col("texts"))) / content
-    return (
-        together.join(document_counts(rows), "term")
-        .join(entities, "entity")
+    content = F.log(F.lit(total) / F.col("n_entity"))
+    bound = 1 + F.log(likely(F.col("both"), F.col("n"), F.col("texts"))) / content
+    revealed = (
+        met.groupBy("circle", "term", "n", "n_entity", "text_hash")
+        .agg(F.sum("docs").alias("both"))
+        .groupBy("circle", "term", "n", "n_entity")
+        .agg(F.sum("both").alias("both"), F.count("*").alias("texts"))
         .where((content > 0) & (bound >= 1 / alpha))
-        .select("entity", "term", (1 + F.log(F.col("both") / n) / content).alias("share"))
+        .select("circle", "term", (1 + F.log(F.col("both") / F.col("n")) / content).alias("share"))
+    )
+    return (
+        met.select("key", "circle", "term")
+        .join(revealed, ["circle", "term"])
+        .groupBy("key", "term")
+        .agg(F.max("share").alias("share"))
     )
 
 
@@ -175,14 +192,13 @@ def found_personal_data(docs: DataFrame, text_column: str = "text") -> DataFrame
     """
     rows = texts(docs, text_column=text_column).withColumn("key", F.xxhash64("doc_id", "text"))
     found_rows = stored(mentions(rows))
-    terms = stored(context_terms(found_rows).distinct())
+    held = stored(holders(found_rows))
     kind = F.when(F.col("share") >= REMOVED, "term_removed").otherwise("term_generalised")
-    revealed = disclosing(terms, rows, found_rows)
+    revealed = stored(disclosing(rows, held))
     rank = F.create_map(*[F.lit(x) for pair in TERM_RANKS.items() for x in pair])
     added = (
-        terms.join(revealed, ["entity", "term"])
-        .groupBy("key", "start", "end")
-        .agg(F.max("share").alias("share"))
+        occurrences(held.join(revealed.select("key").distinct(), "key", "left_semi"))
+        .join(revealed, ["key", "term"])
         .withColumn("kind", kind)
         .select("key", F.struct("start", rank[F.col("kind")].alias("rank"), "end", "kind").alias("span"))
         .groupBy("key")

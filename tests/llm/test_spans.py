@@ -96,6 +96,26 @@ def test_an_entity_of_one_text_is_judged(spark):
         assert rows[0][0] == "term_removed:0:7," * added + "email:19:40"
 
 
+def test_a_revealing_term_is_marked_wherever_it_stands(spark):
+    """Far from the entity, and twice; in half of the documents near it, which is all of them for the counts."""
+    far = "and again it goes on like this " * 5
+    told = [f"Zebulon {far if at % 2 else ''} z@private.example.org {far} zebulon {at}" for at in range(4)]
+    other = [f"again goes like this tomorrow {at}" for at in range(60)]
+    frame = spark.createDataFrame(list(enumerate(told + other)), "doc_id long, text string")
+    new = [row["text"] for row in pii.sanitised(frame).orderBy("doc_id").collect()]
+    assert new[:4] == [t.replace("Zebulon", "").replace("zebulon", "").replace("z@private.example.org", "[EMAIL]") for t in told]
+    assert new[4:] == other
+
+
+def test_words_are_whole(spark):
+    """The old context of 60 code points began within 'tomorrow', so that 'orrow' was looked up."""
+    told = [f"tomorrow{' it' * 18}  z@private.example.org {at}" for at in range(4)]
+    other = [f"orrow and other words {at}" for at in range(60)]
+    frame = spark.createDataFrame(list(enumerate(told + other)), "doc_id long, text string")
+    rows = pii.found_personal_data(frame).where("doc_id = 0").select(listed(F.col("spans"))).collect()
+    assert rows[0][0].startswith("term_removed:0:8,email:")
+
+
 def test_sanitised_keeps_rows_and_columns(awkward):
     new = pii.sanitised(awkward)
     assert new.columns == awkward.columns and new.count() == awkward.count()
