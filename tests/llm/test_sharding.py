@@ -51,3 +51,23 @@ def test_quotas_hold():
     out = {a: sum(n * admitted[b] for (x, b), n in moves.items() if x == a) for a in range(3)}
     assert all(sizes[s] + into[s] - out[s] <= 100 * (1 + sharding.SLACK) + 1e-6 for s in range(3))
     assert admitted[0] == 1 and 0.5 < admitted[1] < 1
+
+
+def test_the_rounds_decide_the_placement(spark):
+    """Without rounds all small groups stay with their first favourite; quotas move them to shards with room."""
+    rows = [(at, f"five {at // 5}") for at in range(3000)] + [(5000 + at, "hot") for at in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sharding.sharded(frame, 10, rounds=rounds).collect() for rounds in (0, 4)]
+    for own in found:
+        check(rows, own, 10)
+    before, after = ({r["doc_id"]: r["shard"] for r in own} for own in found)
+    assert before != after
+    text, cut = dict(rows), defaultdict(set)
+    for doc, shard in after.items():
+        cut[text[doc]].add(shard)
+    assert len(cut["hot"]) == 4 and sum(len(s) > 1 for s in cut.values()) <= 10
+
+
+def test_large_groups_fill_the_fewest_shards():
+    parts = sharding.large_parts({7: {0: 3, 1: 9}, 8: {0: 20, 1: 5}}, [10, 10, 20])
+    assert parts == [(8, 0, 20, 2, 0), (8, 20, 25, 0, 0), (7, 0, 10, 1, 0), (7, 10, 12, 0, 5)]
