@@ -71,3 +71,13 @@ def test_the_rounds_decide_the_placement(spark):
 def test_large_groups_fill_the_fewest_shards():
     parts = sharding.large_parts({7: {0: 3, 1: 9}, 8: {0: 20, 1: 5}}, [10, 10, 20])
     assert parts == [(8, 0, 20, 2, 0), (8, 20, 25, 0, 0), (7, 0, 10, 1, 0), (7, 10, 12, 0, 5)]
+
+
+def test_many_large_groups_are_cut_only_where_no_shard_has_room(spark):
+    rows = [(at, f"large {at // 500}") for at in range(12_000)]
+    found = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    check(rows, found, 4)
+    shards = defaultdict(set)
+    for row in found:
+        shards[row["text_group"]].add(row["shard"])
+    assert all(len(s) == 1 for s in shards.values())
