@@ -31,7 +31,7 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 
 #: Weak parts. An identifier: capitals and digits mixed; a secret: 20 characters and more with a digit, a
 #: small and a capital letter; an endpoint: a URL, or a host with its port.
-WEAK_ID = r"(?<![A-Za-z0-9+/_=-])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,128}(?![A-Za-z0-9+/_=-])"
+WEAK_ID = r"(?<![A-Za-z0-9+/_=-])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,}+(?![A-Za-z0-9+/_=-])"
 WEAK_SECRET = (
     r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[^a-z\s]*[a-z])(?=[^A-Z\s]*[A-Z])"
     r"[A-Za-z0-9+/_=-]{20,}+"

@@ -55,6 +55,11 @@ def test_weak_parts_count_only_together(spark):
     assert found[8] == "endpoint:0:28"
 
 
+def test_a_long_identifier_is_linked(spark):
+    found = secret_spans(spark, "X7Q2M9KD41PZ8RTB" * 9 + " wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLE9")
+    assert found == ["weak_id:0:144,weak_secret:145:181"]
+
+
 def test_scope_is_inclusive_over_bins(spark):
     identifier, secret = "X7Q2M9KD41PZ8RTB", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLE9"
     for shift in (0, 1, 399):
