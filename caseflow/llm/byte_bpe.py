@@ -112,7 +112,7 @@ class ByteBpe:
         ]
         if any(odd):
             raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
-        self._path = path
+        self._path, self._cut = path, None
         letters = _byte_letters()
         self._special = {t["content"]: t["id"] for t in parts["added_tokens"]}
         vocabulary = {token: number for token, number in model["vocab"].items() if token not in self._special}
@@ -231,9 +231,11 @@ class ByteBpe:
         """The class of each character; a new character's is what the tokenizer joins it with."""
         found = self._classes[codes]
         if (found == UNKNOWN).any():
-            from tokenizers import Tokenizer
+            if self._cut is None:
+                from tokenizers import Tokenizer
 
-            cut = Tokenizer.from_file(self._path).pre_tokenizer.pre_tokenize_str
+                self._cut = Tokenizer.from_file(self._path).pre_tokenizer.pre_tokenize_str
+            cut = self._cut
             for code in np.unique(codes[found == UNKNOWN]).tolist():
                 kinds = [kind for kind, c in ((LETTER, "a"), (NUMBER, "1"), (OTHER, ".")) if len(cut(c + chr(code))) == 1]
                 self._classes[code] = kinds[0] if kinds else SPACE
