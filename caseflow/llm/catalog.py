@@ -17,13 +17,14 @@ from caseflow.llm.secrets import op1_secret_scans
 from caseflow.llm.sharding import op6_sharding
 from caseflow.llm.suffix_dedup import op3_suffix_array_dedup
 from caseflow.llm.toxicity import op10_toxicity
+from caseflow.llm.whitening import op12_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scans, op2_best_fit_packing, op3_suffix_array_dedup, op4_ngram_jaccard_join, op5_pii, op6_sharding,
         op7_quality_rules, op8_benchmark_decontamination, op9_quality_classifier, op10_toxicity,
-        op13_bpe_encoding_decoding,
+        op12_embedding_whitening, op13_bpe_encoding_decoding,
     )
 }
 
