@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import table
+from caseflow.llm.common import stored, table
 
 SCALE, OFFSET = 64, 1_000_000
 COMPONENTS = 32
@@ -145,7 +145,7 @@ class Fit:
 
 def fit(rows: DataFrame, most: int = COMPONENTS) -> Fit | None:
     """The fit of all ``rows`` (vec_id, vector) of the most frequent length, of the longer one if two are."""
-    sums = (
+    sums = stored(
         rows.mapInArrow(_task_sums, "dims int, i int, j int, total decimal(38,0)")
         .groupBy("dims", "i", "j")
         .agg(F.sum("total").alias("total"))
