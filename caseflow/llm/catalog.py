@@ -11,6 +11,7 @@ from caseflow.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
 from caseflow.llm.ngram_join import op4_ngram_jaccard_join
 from caseflow.llm.packing import op2_best_fit_packing
 from caseflow.llm.pii import op5_pii
+from caseflow.llm.prefix_trie import op11_conversation_prefix_trie
 from caseflow.llm.quality_classifier import op9_quality_classifier
 from caseflow.llm.quality_rules import op7_quality_rules
 from caseflow.llm.secrets import op1_secret_scans
@@ -24,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_secret_scans, op2_best_fit_packing, op3_suffix_array_dedup, op4_ngram_jaccard_join, op5_pii, op6_sharding,
         op7_quality_rules, op8_benchmark_decontamination, op9_quality_classifier, op10_toxicity,
-        op12_embedding_whitening, op13_bpe_encoding_decoding,
+        op11_conversation_prefix_trie, op12_embedding_whitening, op13_bpe_encoding_decoding,
     )
 }
 
