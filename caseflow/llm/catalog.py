@@ -11,7 +11,7 @@ from caseflow.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
 from caseflow.llm.ngram_join import op4_ngram_jaccard_join
 from caseflow.llm.packing import op2_best_fit_packing
 from caseflow.llm.pii import op5_pii
-from caseflow.llm.prefix_trie import op11_conversation_prefix_trie
+from caseflow.llm.prefix_trie import OP11_SQL, op11_conversation_prefix_trie
 from caseflow.llm.quality_classifier import op9_quality_classifier
 from caseflow.llm.quality_rules import op7_quality_rules
 from caseflow.llm.secrets import op1_secret_scans
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op8_benchmark_decontamination": OP8_SQL}
+SQL: dict[str, str] = {"op8_benchmark_decontamination": OP8_SQL, "op11_conversation_prefix_trie": OP11_SQL}

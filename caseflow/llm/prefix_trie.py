@@ -314,7 +314,8 @@ def prefix_trie(conversations: DataFrame, family: int = FAMILY, head: int = HEAD
         *[F.sum(c).alias(c) for c in TOTALS],
     )
     named = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    return totals.join(named, "parent", "left").select(
+    # An empty table has sums of nothing, but no root.
+    return totals.where("conv_id is not null").join(named, "parent", "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", *TOTALS,
         F.coalesce("ends_sha256", F.sha2(F.lit(b""), 256)).alias("ends_sha256"),
     )
@@ -322,3 +323,54 @@ def prefix_trie(conversations: DataFrame, family: int = FAMILY, head: int = HEAD
 
 def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+WITH own AS (
+    SELECT conv_id AS c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS name,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+placed AS (
+    SELECT c, name, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, name) - 1 AS pos FROM own
+),
+heads AS (
+    SELECT c, count(*) AS size, c - c % 20 AS base,
+        xor(list_reduce(
+            list_prepend(4294967295, [ascii(x) FOR x IN string_split(CAST(c AS VARCHAR), '')]),
+            lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda a, x: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 4 AS h
+    FROM own GROUP BY c
+),
+rebuilt AS (
+    SELECT heads.c, placed.name, placed.words, placed.pos
+    FROM heads JOIN placed ON placed.c = heads.base WHERE placed.pos < heads.h
+    UNION ALL
+    SELECT heads.c, placed.name, placed.words, placed.pos + 4
+    FROM heads JOIN placed ON placed.c = heads.c WHERE placed.pos >= heads.h
+),
+sequences AS (
+    SELECT heads.c, coalesce(list(name ORDER BY pos) FILTER (name IS NOT NULL), []) AS names,
+        coalesce(list(words ORDER BY pos) FILTER (name IS NOT NULL), []) AS words
+    FROM heads LEFT JOIN rebuilt ON rebuilt.c = heads.c GROUP BY heads.c
+),
+prefixes AS (SELECT c, names, words, unnest(range(0, len(names) + 1)) AS depth FROM sequences),
+nodes AS (
+    SELECT array_to_string(names[1:depth], '') AS path, depth, min(c) AS conv_id, count(*) AS n_convs,
+        (count(*) - 1) * coalesce(any_value(words[depth]), 0) AS saved,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(names) = depth), '')) AS ends_sha256
+    FROM prefixes GROUP BY ALL
+),
+children AS (
+    SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+),
+grown AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+above AS (
+    SELECT left(path, 32 * unnest(range(0, depth + 1))) AS path, saved, CAST(n_children = 0 AS BIGINT) AS leaf FROM grown
+),
+totals AS (SELECT path, sum(saved) AS saved_tokens, sum(leaf) AS n_leaves FROM above GROUP BY path)
+SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, g.n_convs, g.n_children,
+    CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, g.ends_sha256
+FROM grown g JOIN totals t USING (path)
+LEFT JOIN nodes p ON g.depth > 0 AND p.path = left(g.path, 32 * (g.depth - 1))
+"""

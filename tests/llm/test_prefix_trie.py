@@ -109,3 +109,16 @@ def test_turnless_and_empty(spark):
     assert prefix_trie.prefix_trie(frame_of(spark, rows).limit(0)).count() == 0
     nothing = frame_of(spark, [(None, 0, "user", "x")])
     assert prefix_trie.prefix_trie(nothing).count() == 0
+
+
+def test_sql_gives_the_same(spark):
+    duckdb = pytest.importorskip("duckdb")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{TABLES}/conversations.parquet'")
+    cursor = connection.execute(prefix_trie.OP11_SQL)
+    names = [c[0] for c in cursor.description]
+    rows = [tuple(r) for r in spark.read.parquet(f"{TABLES}/conversations.parquet").collect()]
+    order = [names.index(c) for c in (
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )]
+    assert sorted((tuple(r[i] for i in order) for r in cursor.fetchall()), key=str) == expected(rows)
