@@ -136,39 +136,25 @@ def step_standards(steps: DataFrame, limits: Limits = ON_TIME_LIMITS) -> DataFra
 def case_on_time_summary(steps: DataFrame, limits: Limits = ON_TIME_LIMITS) -> DataFrame:
     """Steps within their limit beside finished steps, per case and creation date.
 
-    A case without any finished row has one row with NULLs. One scan: visits are merged by case,
-    creation date and step, with keys that spread a large case; what is left is gathered by case, where
-    windows add up each step over the creation dates, and each case over its steps.
+    A case without any finished row has one row with NULLs. The limits name the steps that can meet one,
+    so days are added up for these steps side by side, one row per case in each input partition, and no
+    shuffle has a row per case and step. Only finished steps, which may have any name, are made distinct
+    in a second scan. The join finds both sides gathered by case.
     """
     days = DurationUnits.of_days(steps)
-    merged = steps.groupBy("case_number", "case_created", "step_name").agg(
-        F.sum(days.stored()).alias("units"),
-        F.max(F.col("date_out").isNotNull()).alias("finished"),
+    sums = [
+        F.sum(F.when(F.col("step_name") == step, days.stored())).alias(f"units_{at}")
+        for at, step in enumerate(limits)
+    ]
+    within = [
+        within_limit({step: limit}, F.lit(step), days.value(F.col(f"units_{at}")))
+        for at, (step, limit) in enumerate(limits.items())
+    ]
+    on_time = steps.groupBy("case_number").agg(*(sums or [F.count(F.lit(1))])).select(
+        "case_number", sum(within, F.lit(0).cast("long")).alias("ontimesteps")
     )
-    case = Window.partitionBy("case_number")
-    step = Window.partitionBy("case_number", "step_name")
-    first = F.row_number().over(step.orderBy("case_created")) == 1
-    within = within_limit(limits, F.col("step_name"), days.value(F.sum("units").over(step)))
-    steps_of_case = (
-        merged.select(
-            "*",
-            F.when(first, within).otherwise(0).alias("within"),
-            F.max("finished").over(case).alias("any_finished"),
-        )
-        .withColumn("ontimesteps", F.sum("within").over(case))
-        .withColumn("case_created", F.when(F.col("any_finished"), F.col("case_created")))
-    )
-    per_date = steps_of_case.groupBy("case_number", "case_created").agg(
-        F.max("ontimesteps").alias("ontimesteps"),
-        F.count(F.when(F.col("finished"), F.col("step_name"))).alias("completed"),
-        F.max("finished").alias("finished"),
-        F.max("any_finished").alias("any_finished"),
-    )
-    return per_date.where(F.col("finished") | ~F.col("any_finished")).select(
-        "case_number",
-        "ontimesteps",
-        F.when(F.col("finished"), F.col("completed")).alias("completedsteps"),
-        "case_created",
+    return on_time.join(completed_steps(steps), "case_number", "left").select(
+        "case_number", "ontimesteps", "completedsteps", "case_created"
     )
 
 

@@ -146,3 +146,27 @@ def test_parts_of_the_list(flow_steps):
     assert ("Ticket 6", day("2000-04-01"), 0) in as_set(cases.completed_steps(flow_steps))
     assert ("Ticket 6", None, 3.0) in as_set(cases.step_times(flow_steps))
     assert ("Ticket 10", 2, 1, day("2000-07-01")) in as_set(cases.case_on_time_summary(flow_steps))
+
+
+def test_on_time_summary_without_limits(flow_steps):
+    by_case = {row.case_number: row.ontimesteps for row in cases.case_on_time_summary(flow_steps, {}).collect()}
+    assert set(by_case.values()) == {0}
+    assert set(by_case) == {row.case_number for row in flow_steps.select("case_number").collect()}
+
+
+def test_hot_case_with_a_date_for_each_visit(spark, steps):
+    """Rows per case are (status, date) pairs: the windows of the detail hold as many as a case has dates."""
+    hot = steps.sparkSession.range(3000).selectExpr(
+        "'Ticket 7' case_number", "id step_id", "concat('Manpower Review') step_name", "'Role 1' role",
+        "'a' assigned_to", "'b' action_name", "timestamp_ntz'2020-01-01 00:00:00' date_in",
+        "case when id % 2 = 0 then timestamp_ntz'2020-01-02 00:00:00' end date_out",
+        "cast(0.001 * 0 as decimal(18,2)) cycle_days", "cast(0 as decimal(18,2)) cycle_hours",
+        "timestamp_ntz'2019-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) case_created", "'Active' case_status",
+        "cast(1 as double) total_cycle_time", "'Org 1' org_code",
+    ).select(*steps.columns)
+    found = cases.detail_hero(hot).collect()
+    assert len(found) == 3000
+    assert {(r.remaining, r.completed, r.total_cycle_time, r.avg_cycle_time) for r in found} == {(1500, 1500, 1.0, 0.0)}
+    summary = cases.case_on_time_summary(hot).collect()
+    assert len(summary) == 1500
+    assert {(r.ontimesteps, r.completedsteps) for r in summary} == {(1, 1)}

@@ -99,10 +99,13 @@ def test_inspector_scans_twice_and_nests_without_a_shuffle(table):
     assert count(nested, "Exchange") == count(rows, "Exchange") - 1
 
 
-def test_on_time_list_scans_once(table):
+def test_on_time_list_has_no_shuffle_by_case_and_step(table):
     frame = cases.asap_list(table)
-    assert (count(frame, "FileScan"), count(frame, "Exchange")) == (1, 2)
-    assert "Join" not in plan(frame)
+    assert (count(frame, "FileScan"), count(frame, "Exchange")) == (2, 3)
+    text = plan(frame)
+    assert "hashpartitioning(case_number, step_name" not in re.sub(r"#\d+", "", text)
+    # The sums need no step but those of the limits, and the join no exchange of its own.
+    assert len(re.findall(r"SortMergeJoin|ShuffledHashJoin", text)) == 1
 
 
 def test_completed_flow_uses_a_semi_join(table):
