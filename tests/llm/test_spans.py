@@ -1,5 +1,8 @@
 """Secret scans and personal data."""
 
+import random
+import re
+import time
 from collections import Counter
 
 import pytest
@@ -71,6 +74,87 @@ def test_scope_is_inclusive_over_bins(spark):
         assert found[0].count(":") == 4 and found[1] == ""
 
 
+def test_a_part_does_not_complete_itself(spark):
+    found = secret_spans(
+        spark,
+        "see https://docs.example.com/document/d/1A2b3C4d5E6f7G8h9I0jK now",
+        "ABCDEFGH0123456789ABCD,x",
+        "https://x.example.org/?token=abcdEFGH12345678ijkl",
+        "see https://docs.example.com/document/d/1A2b3C4d5E6f7G8h9I0jK with wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLE9",
+    )
+    assert found == ["", "", "", "endpoint:4:61,weak_secret:67:103"]
+
+
+def linked_by_hand(text):
+    """Every weak part against every other part."""
+    every = []
+    for rank, part in enumerate(secrets.PARTS):
+        if part.base:
+            every += [s for s in brute.spans(brute.SECRETS, text) if s[3] == part.kind]
+        else:
+            every += [(m.start(), rank, m.end(), part.kind) for m in re.finditer(part.pattern, text)]
+    group = {p.kind: p.group for p in secrets.PARTS}
+    base = {p.kind for p in secrets.PARTS if p.base}
+
+    def inside(a, b):
+        return b[0] <= a[0] and a[2] <= b[2] and ((a[0], a[2]) != (b[0], b[2]) or b[1] < a[1])
+
+    kept = [a for a in every if a[3] in base or not any(inside(a, b) for b in every)]
+    return sorted(
+        a
+        for a in kept
+        if a[3] not in base
+        and any(
+            group[b[3]] in secrets.COMPLEMENTS[group[a[3]]]
+            and abs(a[0] - b[0]) <= secrets.SCOPE
+            and (b[0] >= a[2] or b[2] <= a[0])
+            for b in kept
+        )
+    )
+
+
+def test_links_equal_a_comparison_of_all_parts(spark):
+    chance = random.Random(11)
+    alphabet = ["A1", "aB3", "x", "Z9K", "/", "_", "0f"]
+
+    def run(most):
+        return "".join(chance.choice(alphabet) for _ in range(chance.randrange(4, most)))
+
+    def piece():
+        return chance.choice(
+            [
+                lambda: run(30),
+                lambda: "".join(chance.choice("ABCDEF123") for _ in range(chance.randrange(12, 24))),
+                lambda: f"https://h{chance.randrange(9)}.example.org/{run(20)}",
+                lambda: f"db{chance.randrange(9)}.example.org:{chance.randrange(10, 99999)}",
+                lambda: f"token={run(12)}",
+                lambda: "".join(chance.choice("0123456789abcdef") for _ in range(40)),
+                lambda: " " * chance.randrange(300),
+                lambda: "some plain words, no more " * chance.randrange(14),
+                lambda: f"https://long.example.org/{run(150)}?secret={run(10)}",
+            ]
+        )()
+
+    texts = [chance.choice([" ", ",", "\n"]).join(piece() for _ in range(chance.randrange(1, 25))) for _ in range(400)]
+    found = secret_spans(spark, *texts)
+    wanted = [brute.listed(linked_by_hand(text)) for text in texts]
+    assert found == wanted
+    assert sum(map(bool, wanted)) > 100
+
+
+def test_unspaced_text_takes_time_in_proportion(spark):
+    def seconds(text):
+        begin = time.perf_counter()
+        assert secret_spans(spark, text) == [""]
+        return time.perf_counter() - begin
+
+    size = 1 << 20
+    seconds("warm up")
+    plain = seconds(("word " * size)[:size])
+    for odd in (",A1", "a.", "A", "1a-", "x:", "http:/"):
+        assert seconds((odd * size)[:size]) < 10 + 5 * plain, odd
+
+
 def test_a_term_that_reveals_an_entity_is_added(spark):
     told = [f"Text {at} says Zebulon wrote from z@private.example.org about it {at}" for at in range(4)]
     other = [f"Text {at} says something about it and more words like said wrote from" for at in range(60)]
