@@ -4,6 +4,10 @@ Heuristic labellers overlap and disagree; expectation-maximisation over their vo
 estimates how accurate each is, and gives every document a posterior label. A bounded sample of posterior
 labels trains a linear scorer over hashed features: word forms, endings, shapes and how often things are
 repeated. The scorer then reads every document; unlike the labellers it weighs all of the text's words.
+
+Documents are read three times and never shuffled: for the votes, for the texts of the sample, and for the
+result, where a text is measured again and its pattern of votes, broadcast with at most 3 to the power of
+the labellers, gives its label. So any number of copies of one text stay where they are.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import stored, table, texts
-from caseflow.llm.quality_rules import judged, measured
+from caseflow.llm.quality_rules import measured, pattern_probabilities, with_verdicts
 
 #: Documents that the scorer is trained on, at most; those of least hash.
 TRAINING_ROWS = 5000
@@ -37,7 +41,7 @@ def _bucket(name: bytes) -> int:
 def word_features(word: bytes) -> tuple[int, int, int]:
     """The form, the last two bytes, and the shape of a word, equal letters in a row counted once."""
     shape, last = bytearray(), -1
-    for byte in word.translate(_SHAPES)[:40]:
+    for byte in word.translate(_SHAPES):
         if byte != last:
             shape.append(byte)
         last = byte
@@ -112,12 +116,6 @@ def trained(sample: list[tuple[str, float]]) -> np.ndarray:
     return weights
 
 
-def weak_labels(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, key) to (doc_id, key, label): posterior probability of good."""
-    rows = stored(docs.select("doc_id", "key", measured(F.col("text")).alias("quality")))
-    return judged(rows).select("doc_id", "key", F.col("probability").alias("label"))
-
-
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> np.ndarray:
     """Weights from at most ``rows`` documents of different texts; one task trains them."""
     sample = labels.dropDuplicates(["key"]).orderBy("key").limit(rows).select("key", "label")
@@ -135,13 +133,15 @@ def classified(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(doc_id, label, score, kept) for each document.
 
     ``label`` is the posterior of the labellers, ``score`` the scorer's probability of good, and ``kept``
-    whether that is at least one half. A null text counts as empty and is scored like any other.
-    Repeated rows are scored each alike; a null id stays null; an empty table gives no rows; further
+    whether that is at least one half. A null text counts as empty and is scored like any other; a text of
+    any length is read whole. Repeated rows are scored each alike; a null id stays null; an empty table gives no rows; further
     columns are ignored.
     """
     # Texts alone decide: equal texts have one key.
     rows = texts(docs, text_column=text_column).withColumn("key", F.xxhash64("text"))
-    labels = stored(weak_labels(rows))
+    measures = stored(rows.select("key", measured(F.col("text")).alias("quality")))
+    known = pattern_probabilities(measures)
+    labels = with_verdicts(measures, known).select("key", F.col("probability").alias("label"))
     sent = docs.sparkSession.sparkContext.broadcast(learn(rows, labels))
     made: list[Scorer] = []
 
@@ -150,10 +150,11 @@ def classified(docs: DataFrame, text_column: str = "text") -> DataFrame:
             made.append(Scorer(sent.value))
         return pd.Series([made[0].score(text) for text in batch])
 
-    scored = rows.select("doc_id", "key", F.pandas_udf(score, "double")("text").alias("score"))
-    known = labels.groupBy("key").agg(F.first("label").alias("label"))
-    return scored.join(known, "key").select(
-        "doc_id", "label", "score", (F.col("score") >= 0.5).alias("kept")
+    scored = rows.select(
+        "doc_id", measured(F.col("text")).alias("quality"), F.pandas_udf(score, "double")("text").alias("score")
+    )
+    return with_verdicts(scored, known).select(
+        "doc_id", F.col("probability").alias("label"), "score", (F.col("score") >= 0.5).alias("kept")
     )
 
 

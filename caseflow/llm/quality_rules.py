@@ -164,17 +164,22 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> VoteMo
     return VoteModel(prior, rates)
 
 
-def judged(frame: DataFrame, measure: str = "quality", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds ``base_failed``, ``probability`` (posterior of good) and ``kept`` to a frame with measures.
+def vote_names(rules: tuple[Rule, ...] = RULES) -> list[str]:
+    return [f"vote_{rule.name}" for rule in rules]
+
+
+def voted(frame: DataFrame, measure: str = "quality", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Adds the vote of each rule to a frame with measures."""
+    return frame.withColumns({f"vote_{rule.name}": rule.vote(measure) for rule in rules})
 
-    ``frame`` is read twice, so it should be stored. Bounded work on the driver: one row for each
-    pattern of votes.
+
+def pattern_probabilities(frame: DataFrame, measure: str = "quality", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(votes, probability): the posterior of good of each pattern of votes in ``frame``.
+
+    Bounded work on the driver: one row for each pattern, at most 3 to the power of the rules.
     """
-    spark = frame.sparkSession
-    columns = [F.col(f"vote_{rule.name}") for rule in rules]
-    voted = frame.withColumns({f"vote_{rule.name}": rule.vote(measure) for rule in rules})
-    patterns = voted.groupBy(*columns).count().toPandas()
-    names = [f"vote_{rule.name}" for rule in rules]
+    names = vote_names(rules)
+    patterns = voted(frame, measure, rules).groupBy(*names).count().toPandas()
     model = fit_votes(patterns[names].to_numpy(), patterns["count"].to_numpy())
     patterns["probability"] = (
         model.posterior(patterns[names].to_numpy(int)) if len(patterns) else np.zeros(0)
@@ -184,17 +189,32 @@ def judged(frame: DataFrame, measure: str = "quality", rules: tuple[Rule, ...] =
         (*map(int, row[:-1]), float(row[-1]))
         for row in patterns[[*names, "probability"]].itertuples(index=False)
     ]
-    known = spark.createDataFrame(rows, schema)  # at most 3 ** len(rules) rows
+    return frame.sparkSession.createDataFrame(rows, schema)
+
+
+def with_verdicts(
+    frame: DataFrame, known: DataFrame, measure: str = "quality", rules: tuple[Rule, ...] = RULES
+) -> DataFrame:
+    """Adds ``base_failed``, ``probability`` and ``kept``, by the pattern of each row's votes."""
     failed = F.expr(
         f"{measure}.n_words < 50 or 100 * {measure}.n_repeat_words > 50 * {measure}.n_words"
     )
     return (
-        voted.join(F.broadcast(known), names)
+        voted(frame, measure, rules)
+        .join(F.broadcast(known), vote_names(rules))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= 0.5))
     )
 
 
+def judged(frame: DataFrame, measure: str = "quality", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Adds ``base_failed``, ``probability`` (posterior of good) and ``kept`` to a frame with measures.
+
+    ``frame`` is read twice, so it should be stored.
+    """
+    return with_verdicts(frame, pattern_probabilities(frame, measure, rules), measure, rules)
+
+
 def quality_verdicts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """One row for each document: its id, measures, votes, posterior and verdict.
 
@@ -208,7 +228,11 @@ def quality_verdicts(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The documents whose verdict is to keep, with all their columns and nothing else."""
+    """The documents whose verdict is to keep, with all their columns and nothing else.
+
+    A null or empty text fails, a text of any length is measured whole. Repeated rows stay or go together,
+    a null id decides nothing, and an empty table gives no rows.
+    """
     carried = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
         measured(docs[text_column]).alias("quality"),

@@ -81,3 +81,72 @@ def test_training_separates_what_differs():
     sample += [("### $$$ %%% " * (1 + n), 0.0) for n in range(30)]
     scorer = quality_classifier.Scorer(quality_classifier.trained(sample))
     assert scorer.score("fine good words") > 0.9 > 0.1 > scorer.score("%%% ### $$$ ###")
+
+
+def labels_by_hand(votes):
+    """Expectation-maximisation over single documents, in plain loops."""
+    good = [(sum(v == 1 for v in row) + 0.7) / (sum(v >= 0 for v in row) + 1) for row in votes]
+    kinds = [1, 0, -1]  # good, bad, abstain
+    for _ in range(60):
+        prior = (sum(good) + 7) / (len(votes) + 10)
+        rates = []
+        for rule in range(len(votes[0])):
+            own = {}
+            for cls in (0, 1):
+                belief = {k: (8.0 if k == cls else 1.0) for k in kinds}
+                for row, g in zip(votes, good, strict=True):
+                    belief[row[rule]] += g if cls else 1 - g
+                own[cls] = {k: belief[k] / sum(belief.values()) for k in kinds}
+            rates.append(own)
+        good = []
+        for row in votes:
+            one, zero = prior, 1 - prior
+            for rule, v in enumerate(row):
+                one, zero = one * rates[rule][1][v], zero * rates[rule][0][v]
+            good.append(one / (one + zero))
+    return good
+
+
+def weights_by_hand(sample):
+    """Adam on the whole, dense matrix of features."""
+    size, steps, rate, penalty = 1 << quality_classifier.BITS, 150, 0.3, 1e-4
+    x = np.zeros((len(sample), size))
+    for row, (text, _) in enumerate(sample):
+        raw = (text or "").encode()
+        words = raw.split()
+        for at in quality_classifier.text_features(words, raw):
+            x[row, at] = 1.0
+        for word in words:
+            for at in quality_classifier.word_features(word):
+                x[row, at] += 1 / len(words)
+    y = np.asarray([label for _, label in sample])
+    share = min(0.95, max(0.05, y.mean()))
+    weight = np.where(y >= 0, y / share + (1 - y) / (1 - share), 0) / (2 * len(y))
+    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    for step in range(1, steps + 1):
+        g = x.T @ ((1 / (1 + np.exp(-x @ w)) - y) * weight) + penalty * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def test_labels_and_scores_equal_a_plain_version(documents):
+    names = quality_rules.vote_names()
+    rows = quality_rules.quality_verdicts(documents).join(documents.select("doc_id", "text"), "doc_id").collect()
+    labels = labels_by_hand([[r[n] for n in names] for r in rows])
+    sample = {r["text"] or "": label for r, label in zip(rows, labels, strict=True)}
+    w = weights_by_hand(sorted(sample.items()))
+    wanted = {r["doc_id"]: label for r, label in zip(rows, labels, strict=True)}
+    for row in quality_classifier.classified(documents).join(documents.select("doc_id", "text"), "doc_id").collect():
+        raw = (row["text"] or "").encode()
+        words = raw.split()
+        total = w[quality_classifier.text_features(words, raw)].sum()
+        total += sum(w[list(quality_classifier.word_features(word))].sum() for word in words) / max(1, len(words))
+        assert row["label"] == pytest.approx(wanted[row["doc_id"]], abs=1e-9)
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-total)), abs=2e-3)
+        assert row["kept"] == (row["score"] >= 0.5)
+
+
+def test_shapes_read_whole_words():
+    long = b"Aa" * 60
+    assert quality_classifier.word_features(long + b"0")[2] != quality_classifier.word_features(long)[2]
