@@ -1,173 +1,212 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search, exactly verified.
 
-The items are the query set. They are put into classes by their number of shingles, each class with
-as many hash functions as its sizes need. A hash function picks the item's least shingle under it; if a
-share c of the item is in a document, the picked shingle is there with probability c, however long the
-document. So a document is probed with the picked shingles of all items, the share found estimates the
-containment, and every item with a hit is verified by counting its shingles in the document. An item
-of which three quarters are present escapes all of 24 functions with a probability below 1e-14; items of
-up to 24 shingles are probed with all of them.
-
-The item table is read in blocks of a bounded number of shingles, which go to every task; the
-documents, of any number and length, are only streamed.
+The items are the query set. They are put into classes by their number of shingles, sizes doubling from
+class to class. A class has its own number of hash values and its own threshold: of an item the shingles of
+least hash are picked, as many as the class says, and a document is a candidate for the item if it holds at
+least the threshold's number of them, however long the document. The threshold follows from the largest
+size of the class: if three quarters of the item's shingles are present, fewer of the picked ones are
+found with a probability below ``MISS``. Items that are picked entire, as all of the smallest class, are never
+missed.
+
+All of it is joins on shingles, in one pass over the documents however many items there are. A bitmap of
+fixed size of the picked shingles goes to every task and keeps back nearly all shingles of a document; what
+passes is joined with the picked ones and counted by document and item. Candidates are read again, and
+their shingles joined and counted with those of the items, which gives the containment exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import stored, table
-from caseflow.llm.ngram_join import WORDS, shingle_hashes
+from caseflow.llm.ngram_join import SENT_ROWS, WORDS, shingle_hashes
 
 CONTAINMENT = 75  # per cent
-FUNCTIONS = 24
-#: Shingles of the items that are broadcast at a time: 8 MB of hashes.
-BLOCK_SHINGLES = 1_000_000
+#: Shingles that are picked of an item of the smallest class, and how many more from class to class.
+PICKED, MORE = 24, 8
+#: Probability that an item with enough shingles in a document has too few picked ones there.
+MISS = 1e-9
+#: Bits of the bitmap that is broadcast: 4 MB.
+BITS = 1 << 25
 HITS = "array<struct<item_id:bigint,shared:bigint,size:bigint>>"
 
 
-@dataclass
-class Block:
-    """Some items: their shingles one after the other, and the picked ones with their item's place."""
+def wanted(size: int) -> int:
+    """Least number of an item's shingles that make it contained."""
+    return -(-CONTAINMENT * size // 100)
 
-    item_ids: np.ndarray
-    words: np.ndarray  # words in a shingle: fewer than WORDS for an item of fewer words
-    shingles: np.ndarray
-    ends: np.ndarray
-    picked: np.ndarray
-    owner: np.ndarray
 
+def size_class(size: int) -> int:
+    """0 up to ``PICKED`` shingles; each further class holds sizes up to twice those of the one before."""
+    return max(0, (size - 1) // PICKED).bit_length()
 
-def classes_of(sizes: np.ndarray) -> np.ndarray:
-    """The size class of each item: doubling from the number of hash functions on."""
-    return np.ceil(np.log2(np.maximum(1, sizes / FUNCTIONS))).astype(int)
 
+def class_plan(number: int) -> tuple[int, int]:
+    """(shingles picked, least number found) of a class, from its largest size."""
+    picked = PICKED + MORE * number
+    size = PICKED << number
+    present = wanted(size)
+    ways, least, missed = comb(size, picked), 0, 0
+    while least < picked:
+        missed += comb(present, least) * comb(size - present, picked - least)
+        if missed > MISS * ways:
+            break
+        least += 1
+    return picked, max(1, least)
 
-def picked_shingles(shingles: np.ndarray) -> np.ndarray:
-    """The least shingles of a set under each of ``FUNCTIONS`` hash functions; a small set entire."""
-    if len(shingles) <= FUNCTIONS:
+
+def picked_shingles(shingles: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` shingles of least hash of a set."""
+    if len(shingles) <= count:
         return shingles
-    factors = (np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    mixed = shingles[None, :] * factors[:, None]
+    mixed = shingles * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(shingles[mixed.argmin(axis=1)])
-
-
-def block_of(items: list[tuple[int, int, np.ndarray]]) -> Block:
-    """Items (id, words in a shingle, shingles), ordered by size class."""
-    sizes = np.asarray([len(s) for _, _, s in items])
-    items = [items[at] for at in np.argsort(classes_of(sizes), kind="stable")]
-    picked = [picked_shingles(s) for _, _, s in items]
-    owner = np.repeat(np.arange(len(items)), [len(p) for p in picked])
-    flat = np.concatenate(picked)
-    order = np.argsort(flat, kind="stable")
-    return Block(
-        np.asarray([i for i, _, _ in items]),
-        np.asarray([w for _, w, _ in items]),
-        np.concatenate([s for _, _, s in items]),
-        np.cumsum([len(s) for _, _, s in items]),
-        flat[order],
-        owner[order],
+    return shingles[np.argpartition(mixed, count)[:count]]
+
+
+def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    plans: dict[int, tuple[int, int]] = {}
+    for batch in batches:
+        out = []
+        for item_id, text in zip(batch["item_id"], batch["text"], strict=True):
+            shingles = shingle_hashes(text)
+            if not len(shingles):
+                continue
+            number = size_class(len(shingles))
+            if number not in plans:
+                plans[number] = class_plan(number)
+            count, least = plans[number]
+            words = min(WORDS, len(text.encode("utf-8", "surrogatepass").split()))
+            if len(shingles) <= count:  # all are picked, so the number that must be there is known
+                least = wanted(len(shingles))
+            picked = picked_shingles(shingles, count)
+            out.append((item_id, words, len(shingles), least, picked.view(np.int64), shingles.view(np.int64)))
+        yield pd.DataFrame(out, columns=["item_id", "words", "size", "least", "picked", "shingles"])
+
+
+def item_sets(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, words, size, least, picked, shingles) for each distinct text of each id, stored.
+
+    ``words`` are those of a shingle, fewer than ``WORDS`` for an item of fewer; ``least`` is the number of
+    picked shingles that makes a candidate. Items without words, or without an id, are left out.
+    """
+    rows = (
+        benchmark.where(benchmark["item_id"].isNotNull())
+        .select(benchmark["item_id"].cast("long").alias("item_id"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("text"))
+        .distinct()
     )
+    schema = "item_id long, words int, size long, least long, picked array<long>, shingles array<long>"
+    made = rows.mapInPandas(_items, schema)
+    return stored(made.withColumn("item", F.xxhash64("item_id", "shingles")).dropDuplicates(["item"]))
+
+
+def bitmap(shingles: DataFrame, bits: int = BITS) -> np.ndarray:
+    """One bit for each shingle, by its lowest bits: at most ``bits`` / 64 words come to the driver."""
+    slot = F.col("shingle").bitwiseAND(F.lit(bits - 1).cast("long"))
+    words = (
+        shingles.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(shingle & 63 as int))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toPandas()
+    )
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Block]:
-    """The item table in bounded blocks. Items without words, or without an id, are left out."""
-    rows = benchmark.where("item_id is not null").select("item_id", "text").distinct()
-    items, total = [], 0
-    for row in rows.toLocalIterator():
-        shingles = shingle_hashes(row["text"] or "")
-        if not len(shingles):
-            continue
-        count = len((row["text"]).encode("utf-8", "surrogatepass").split())
-        items.append((int(row["item_id"]), min(WORDS, count), shingles))
-        total += len(shingles)
-        if total >= BLOCK_SHINGLES:
-            yield block_of(items)
-            items, total = [], 0
-    if items:
-        yield block_of(items)
-
-
-class Searcher:
-    """Finds a block's items in texts."""
-
-    def __init__(self, block: Block) -> None:
-        self.block = block
-        #: One bit for the leading 20 bits of each picked shingle, to pass over most of a text's own.
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(block.picked >> np.uint64(44)).astype(np.int64)] = True
-        self.sizes = sorted(set(block.words.tolist()))
-
-    def hits(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item, shared shingles, item's shingles) where enough are shared, by item."""
-        block, found = self.block, {}
-        for words in self.sizes:
-            own = shingle_hashes(text or "", words)
-            if words > len((text or "").split(None, words)):
-                continue  # a shorter text's only shingle stands for itself
-            maybe = own[self.filter[(own >> np.uint64(44)).astype(np.int64)]]
-            low = np.searchsorted(block.picked, maybe, side="left")
-            high = np.searchsorted(block.picked, maybe, side="right")
-            candidates = {int(o) for a, b in zip(low, high, strict=True) for o in block.owner[a:b]}
-            for at in candidates:
-                if block.words[at] != words:
-                    continue
-                end = int(block.ends[at])
-                item = block.shingles[int(block.ends[at - 1]) if at else 0 : end]
-                place = np.minimum(np.searchsorted(own, item), len(own) - 1)
-                shared = int((own[place] == item).sum())
-                if 100 * shared >= CONTAINMENT * len(item):
-                    key = int(block.item_ids[at])
-                    best = found.get(key)
-                    if best is None or shared * best[1] > best[0] * len(item):
-                        found[key] = (shared, len(item))
-        return [(item, *found[item]) for item in sorted(found)]
-
+def probed(docs: DataFrame, shingles: DataFrame, sizes: list[int], bits: int = BITS) -> DataFrame:
+    """Distinct (key, shingle) of rows (key, text): shingles of a text that the bitmap of ``shingles`` lets through."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(shingles, bits))
 
-def _searched(spark: SparkSession, block: Block, text: Column) -> Column:
-    sent = spark.sparkContext.broadcast(block)
-    made: list[Searcher] = []
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        there, mask = sent.value, np.uint64(bits - 1)
+        for batch in batches:
+            keys, found, seen = [], [], set()
+            for key, text in zip(batch["key"], batch["text"], strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
+                for words in sizes:
+                    if words < WORDS and words > len(text.encode("utf-8", "surrogatepass").split(None, words)):
+                        continue  # a shorter text's only shingle stands for itself
+                    own = shingle_hashes(text, words)
+                    slot = own & mask
+                    passes = (there[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
+                    kept = own[passes.astype(bool)]
+                    keys.append(np.full(len(kept), key))
+                    found.append(kept.view(np.int64))
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys), "shingle": np.concatenate(found)})
+
+    return docs.select("key", "text").mapInPandas(probe, "key long, shingle long").distinct()
+
+
+def candidates(docs: DataFrame, items: DataFrame, sizes: list[int], bits: int = BITS) -> DataFrame:
+    """(key, item) where a text holds enough of an item's picked shingles, as its class wants."""
+    picked = items.select("item", "least", F.explode("picked").alias("shingle"))
+    return (
+        probed(docs, picked, sizes, bits)
+        .join(picked, "shingle")
+        .groupBy("key", "item")
+        .agg(F.count("*").alias("found"), F.first("least").alias("least"))
+        .where("found >= least")
+        .select("key", "item")
+    )
 
-    def search(batch: pd.Series) -> pd.Series:
-        if not made:
-            made.append(Searcher(sent.value))
-        names = ("item_id", "shared", "size")
-        return pd.Series([[dict(zip(names, h, strict=True)) for h in made[0].hits(t)] for t in batch])
 
-    return F.pandas_udf(search, HITS)(text)
+def _sent(frame: DataFrame) -> DataFrame:
+    """A stored table of few numbers a row: broadcast up to ``SENT_ROWS`` rows, else joined."""
+    return F.broadcast(frame) if frame.count() <= SENT_ROWS else frame
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, bits: int = BITS) -> DataFrame:
+    """(key, hits) of rows (key, text) with equal texts under one key: the items found in a text, by id; stored."""
+    items = item_sets(benchmark)
+    sizes = sorted(r["words"] for r in items.select("words").distinct().collect())
+    likely = stored(candidates(docs, items, sizes, bits))
+    again = docs.join(_sent(stored(likely.select("key").distinct())), "key", "left_semi")
+    chosen = items.join(likely.select("item").distinct(), "item", "left_semi")
+    parts = chosen.select("item", "item_id", "size", F.explode("shingles").alias("shingle"))
+    best = F.struct((F.col("shared") / F.col("size")).alias("share"), "shared", "size")
+    found = (
+        probed(again, parts, sizes, bits)
+        .join(parts, "shingle")
+        .groupBy("key", "item", "item_id", "size")
+        .agg(F.count("*").alias("shared"))
+        .where(f"100 * shared >= {CONTAINMENT} * size")
+        .join(likely, ["key", "item"], "left_semi")
+        .groupBy("key", "item_id")
+        .agg(F.max(best).alias("best"))
+    )
+    own = F.struct("item_id", "best.shared", "best.size")
+    return stored(found.groupBy("key").agg(F.sort_array(F.collect_list(own)).alias("hits")))
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text_column: str, hits: str) -> DataFrame:
-    """``docs`` with an array of the items found in each text. One pass for each block of items."""
-    spark, frame = docs.sparkSession, docs
-    for number, block in enumerate(blocks(benchmark)):
-        found = _searched(spark, block, F.col(text_column))
-        frame = stored(frame.withColumn(hits, F.concat(hits, found))) if number else frame.withColumn(hits, found)
-    return frame if hits in frame.columns else frame.withColumn(hits, F.lit(None).cast(HITS))
+def _keyed(text: str, docs: DataFrame, *columns) -> DataFrame:
+    whole = F.coalesce(docs[text].cast("string"), F.lit(""))
+    return docs.select(*columns, whole.alias("text"), F.xxhash64(whole).alias("key"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", bits: int = BITS) -> DataFrame:
     """(doc_id, contaminated, n_items, items, containment) for each document.
 
     ``items`` lists the ids found, rising and comma-joined; ``containment`` is the largest share of an
     item's shingles, 0 where none reaches the threshold. A null or empty text contains nothing, nor is
     an item without words found anywhere; an item of fewer than five words counts as one shingle, found
     where its words follow each other. Items that share an id count as one, found with any of their
-    texts. Repeated rows are judged each alike; a null id stays null; without items nothing is found;
-    further columns are ignored.
+    texts. A text of any length is searched whole. Repeated rows are judged each alike; a null id stays
+    null; without items nothing is found; an empty table gives no rows; further columns are ignored.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    found = with_hits(rows, benchmark, "text", "hits").select(
-        "doc_id", F.coalesce("hits", F.array().cast(HITS)).alias("hits")
-    )
+    rows = _keyed(text_column, docs, docs["doc_id"].cast("long").alias("doc_id"))
+    joined = rows.select("doc_id", "key").join(_sent(hits(rows, benchmark, bits)), "key", "left")
+    found = joined.select("doc_id", F.coalesce("hits", F.array().cast(HITS)).alias("hits"))
     ids = F.transform("hits", lambda h: h["item_id"].cast("string"))
     share = F.transform("hits", lambda h: h["shared"] / h["size"])
     return found.select(
@@ -180,12 +219,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_column: str = "tex
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
-    """The documents in which no benchmark item is found, with all their columns and nothing else."""
-    carried = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_column].alias("searched")
-    )
-    found = with_hits(carried, benchmark, "searched", "hits")
-    return found.where("coalesce(size(hits), 0) <= 0").select("row.*")
+    """The documents in which no benchmark item is found, with all their columns and nothing else.
+
+    Cases as in ``contamination``: documents without text stay, repeated rows stay or go together, without
+    items all stay, and an empty table gives no rows.
+    """
+    carried = _keyed(text_column, docs, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    found = _sent(hits(carried.select("key", "text"), benchmark).select("key"))
+    return carried.select("row", "key").join(found, "key", "left_anti").select("row.*")
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

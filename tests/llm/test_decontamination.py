@@ -1,4 +1,6 @@
+import random
 from collections import Counter
+from math import comb
 
 import pytest
 
@@ -29,24 +31,61 @@ def wanted(rows, items):
     return out
 
 
-@pytest.mark.parametrize("block", [1_000_000, 1])
-def test_contamination(spark, monkeypatch, awkward, items, documents, document_rows, block):
-    monkeypatch.setattr(decontamination, "BLOCK_SHINGLES", block)
-    found = decontamination.contamination(awkward, items).drop("containment")
+@pytest.mark.parametrize("sent, bits", [(2_000_000, 1 << 25), (0, 64)])
+def test_contamination(spark, monkeypatch, awkward, items, documents, document_rows, sent, bits):
+    """Also where nothing is small enough to broadcast and the bitmap lets all shingles through."""
+    monkeypatch.setattr(decontamination, "SENT_ROWS", sent)
+    found = decontamination.contamination(awkward, items, bits=bits).drop("containment")
     assert Counter(map(tuple, found.collect())) == wanted(awkward_rows(), ITEMS)
-    if block > 1:
+    if sent:
         benchmark = spark.read.parquet(f"{TABLES}/benchmark.parquet")
         rows = [(r["item_id"], r["text"]) for r in benchmark.collect()]
-        found = decontamination.contamination(documents, benchmark).drop("containment")
+        found = decontamination.contamination(documents, benchmark, bits=bits).drop("containment")
         assert Counter(map(tuple, found.collect())) == wanted(document_rows, rows)
         assert found.where("contaminated").count() > 0
 
 
+def test_classes_have_their_own_picks_and_thresholds():
+    plans = [decontamination.class_plan(number) for number in range(8)]
+    assert [decontamination.size_class(n) for n in (1, 24, 25, 48, 49, 96, 97)] == [0, 0, 1, 1, 2, 2, 3]
+    assert plans[0] == (24, 18)  # all shingles, three quarters of them
+    assert [p for p, _ in plans] == [24 + 8 * number for number in range(8)]
+    assert all(least < picked * 0.75 for picked, least in plans[1:])
+    for number, (picked, least) in enumerate(plans[1:], 1):
+        size, present = 24 << number, 18 << number
+
+        def missed(least, size=size, present=present, picked=picked):
+            ways = sum(comb(present, k) * comb(size - present, picked - k) for k in range(least))
+            return ways / comb(size, picked)
+
+        assert missed(least) <= 1e-9 < missed(least + 1)
+
+
+def test_recall_at_the_threshold(spark):
+    """Items of every class, of which just three quarters of the shingles are in a long document."""
+    chance = random.Random(8)
+    items, docs = [], []
+    for at, size in enumerate([20, 24, 25, 40, 48, 60, 96, 150, 300, 700, 1500] * 4):
+        item = [f"i{at}.{k}" for k in range(size + 4)]
+        items.append((at, " ".join(item)))
+        kept, drop = list(item), size - decontamination.wanted(size)
+        head = chance.randrange(drop + 1)  # words cut off at both ends, one shingle each
+        kept = kept[head : len(kept) - (drop - head)]
+        docs.append((at, " ".join(["filler", str(at)] * chance.randrange(500) + kept + ["end"] * 50)))
+        docs.append((1000 + at, " ".join(kept[1:])))  # one shingle too few
+    found = decontamination.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {r["doc_id"]: r["items"] for r in found} == {d: str(d) if d < 1000 else "" for d, _ in docs}
+
+
 def test_nothing(awkward, empty, items):
     assert decontamination.contamination(empty, items).count() == 0
     none = decontamination.contamination(awkward, items.limit(0))
     assert none.where("contaminated").count() == 0 and none.count() == awkward.count()
     assert decontamination.clean_documents(awkward, items.limit(0)).count() == awkward.count()
+    assert decontamination.clean_documents(empty, items).columns == empty.columns
+    assert decontamination.clean_documents(empty, items).count() == 0
 
 
 def test_clean_documents(awkward, items):
