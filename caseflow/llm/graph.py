@@ -12,8 +12,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the least node of its component.
 
     Alternates large-star and small-star steps until the links no longer change, a number of rounds
-    logarithmic in the number of nodes. Only minima are gathered by node, so a node with very many
-    links costs one row for each input partition; each round is written to the shared folder.
+    logarithmic in the number of nodes. Minima are merged before they are gathered by node. They are stored
+    before they are joined with the links: then both sides of the join are plain shuffles, of which the
+    engine splits the partitions of a node with very many links and repeats that node's one minimum.
     """
     edges = stored(
         links.where("a != b")
@@ -25,10 +26,10 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         larger = (
-            both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            both.where("b > a").join(stored(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        larger = larger.where("a != b").distinct()
-        least = larger.groupBy("a").agg(F.min("b").alias("m"))
+        larger = stored(larger.where("a != b").distinct())
+        least = stored(larger.groupBy("a").agg(F.min("b").alias("m")))
         hooked = larger.join(least, "a")
         edges = stored(
             hooked.select(F.col("b").alias("a"), F.col("m").alias("b"))

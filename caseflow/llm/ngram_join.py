@@ -281,14 +281,15 @@ def _links(arrays: DataFrame) -> DataFrame:
     rows = arrays.select(
         "key", F.explode(F.slice("shingles", F.lit(1), F.size("shingles") - least + 1)).alias("shingle")
     )
+    # One row for each shingle, stored: so the join can split a shingle or a cluster with very many sets.
     hubs = rows.groupBy("shingle").agg(F.min("key").alias("hub"), F.max("key").alias("last"))
+    hubs = stored(hubs.where("hub != last"))
     shared = (
-        rows.join(hubs.where("hub != last"), "shingle").where("key != hub").select("key", "hub").distinct()
+        rows.join(hubs, "shingle").where("key != hub").select("key", "hub").distinct()
     )
     clusters = stored(components(shared.toDF("a", "b")).toDF("key", "cluster"))
-    large = clusters.groupBy("cluster").count().withColumn(
-        "blocks", F.ceil(F.col("count") / BLOCK).cast("int")
-    )
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")
+    large = stored(clusters.groupBy("cluster").count().select("cluster", blocks))
     buckets = max(1, clusters.count() // BLOCK)
     placed = (
         clusters.join(large, "cluster")
@@ -327,13 +328,16 @@ def _rows(docs: DataFrame, text_column: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document.
 
-    A null or empty text has the empty set and is linked with nothing; its component is its own id.
+    A null or empty text has the empty set and is linked with nothing; its component is its own id. A text of
+    any length gives its whole set, which one task holds.
     Repeated rows and equal texts have one component; a row whose id is null is linked like any other,
     and has a null component if no document of its component has an id. An empty table gives no rows;
     further columns are ignored.
     """
     grouped = stored(_grouped(_rows(docs, text_column)))
-    least = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = stored(
+        grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    )
     own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return grouped.join(least, "root", "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
@@ -341,7 +345,9 @@ def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
 def one_of_each(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One document of each component, that of the least id, with all its columns; and all empty ones.
 
-    Of repeated rows one stays. What goes, and not what stays, is looked up, in every task up to a size.
+    Of repeated rows one stays, of ties that of the least id and hash. A row without an id stays only where
+    no document of its component has one. An empty table gives no rows. What goes, and not what stays, is
+    looked up, in every task up to a size.
     """
     rows = _rows(docs.withColumnRenamed(id_column, "doc_id"), text_column)
     grouped = stored(_grouped(rows).where("root is not null").select("root", "doc_id", "row"))
