@@ -78,7 +78,7 @@ def test_stages_keep_the_columns(spark, awkward):
 
 def test_each_operator_has_one_query():
     names = [name for name in __spark_entry__.queries() if name.startswith("op")]
-    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
