@@ -4,16 +4,20 @@ Labelled documents give the lexicon: words, and stems that many words begin with
 use far more often than others. The lexicon is a trie. A word is looked up by intersecting the trie with
 the Levenshtein automaton of that word: the pairs (trie node, errors so far) that reading it can reach.
 Sets of such pairs are the states of a deterministic automaton that is built as words need it, so a
-word costs one lookup for each letter and most words end after three. Hits are scored in windows of words:
+word costs one lookup for each letter and most words end early. How many errors an entry may have follows
+from its length and its log-odds alone, so more and more varied labels never make the search stricter. A word
+that clean training documents use is a word of its own and no misspelling. Hits are scored in windows of words:
 a hit between quotation marks counts little, several near each other count more. A logistic model
 over a few such measures of the whole text gives the score.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,32 +33,42 @@ TRAINING_ROWS = 6000
 FOLDS, HELD_OUT = 4, 2
 #: Toxic training documents that an entry needs, its least log-odds, and lengths of stems.
 SUPPORT, LEAST_ODDS, STEMS = 4, 1.2, (4, 5, 6, 7)
-#: Words whose log-odds reach this, in so large a share of the toxic training documents, and of so many
-#: letters, are also found with one or two errors.
-STRONG_ODDS, STRONG_SHARE, ONE_ERROR, TWO_ERRORS = 3.0, 0.03, 4, 8
+#: Log-odds that count as strong, and that an entry needs to be found with errors.
+STRONG_ODDS = 3.0
+#: Letters that words and stems need, at least, to be found with one and with two errors.
+WORD_ERRORS, STEM_ERRORS = (4, 8), (6, 12)
+#: (half, toxic) of training rows, and the halves that lexicons are learned from: two to measure the rows of
+#: halves 0 and 1 with, and the one that is kept.
+KINDS, LEARNED_FROM = ((0, 0), (0, 1), (1, 0), (1, 1)), ((1,), (0,), (0, 1))
 #: Words of a context window.
 WINDOW = 24
 QUOTED_WEIGHT = 0.25
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+(?:[@$*!]\w+)*")
-_QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|„[^“\n]{1,400}“|«[^»\n]{1,400}»|^>[^\n]*", re.M)
+#: Quotations of any length within a line; none holds its own opening mark, so that a search is linear.
+_QUOTED = re.compile(r"\"[^\"\n]+\"|“[^“”\n]+”|„[^„“\n]+“|«[^«»\n]+»|^>[^\n]*", re.M)
 
 
 @dataclass(frozen=True)
 class Entry:
-    """A lexicon word, or with ``stem`` the beginning of words; its log-odds and share of toxic ones."""
+    """A lexicon word, or with ``stem`` the beginning of words, and its log-odds."""
 
     term: str
     odds: float
-    share: float = 1.0
     stem: bool = False
 
     @property
     def errors(self) -> int:
-        if self.stem or self.odds < STRONG_ODDS or self.share < STRONG_SHARE or len(self.term) < ONE_ERROR:
+        """The most errors with which the entry is found: by its length, none unless its odds are strong."""
+        if self.odds < STRONG_ODDS:
             return 0
-        return 2 if len(self.term) >= TWO_ERRORS else 1
+        return sum(len(self.term) >= least for least in (STEM_ERRORS if self.stem else WORD_ERRORS))
+
+
+def _rank(hit: tuple[Entry, int]) -> tuple[int, float, bool]:
+    """Order of the entries found for a word: fewest errors, then greatest odds, then words before stems."""
+    return hit[1], -hit[0].odds, hit[0].stem
 
 
 @dataclass
@@ -90,7 +104,7 @@ class Matcher:
         self.numbers: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
         self.accepted: list[tuple[Entry, int] | None] = []
-        self.begun: list[Entry | None] = []
+        self.begun: list[tuple[Entry, int] | None] = []
         self._number({})  # 0: dead
         self.start = self._number(self._closed({0: 0}))
 
@@ -112,14 +126,11 @@ class Matcher:
             self.numbers[key] = len(self.states)
             self.states.append(state)
             self.steps.append({})
-            ends = [
-                (self.nodes[at].word, errors)
-                for at, errors in state.items()
-                if self.nodes[at].word and errors <= self.nodes[at].word.errors
-            ]
-            self.accepted.append(min(ends, key=lambda e: (e[1], -e[0].odds), default=None))
-            stems = [self.nodes[at].stem for at, e in state.items() if not e and self.nodes[at].stem]
-            self.begun.append(max(stems, key=lambda e: e.odds, default=None))
+            words = [(self.nodes[at].word, errors) for at, errors in state.items()]
+            stems = [(self.nodes[at].stem, errors) for at, errors in state.items()]
+            for entries, best in ((words, self.accepted), (stems, self.begun)):
+                within = [(entry, errors) for entry, errors in entries if entry and errors <= entry.errors]
+                best.append(min(within, key=_rank, default=None))
         return self.numbers[key]
 
     def _step(self, state: int, letter: str) -> int:
@@ -139,17 +150,20 @@ class Matcher:
         return number
 
     def match(self, word: str) -> tuple[Entry, int] | None:
-        """The entry that is nearest to a lower-case word and the errors between them, or None."""
-        state, begun = self.start, None
+        """The entry that is nearest to a lower-case word and the errors between them, or None.
+
+        A stem is as near as the beginning of the word that is nearest to it.
+        """
+        state, found = self.start, []
         for letter in word:
             state = self.steps[state].get(letter) if letter in self.steps[state] else self._step(state, letter)
             if not state:
                 break
-            begun = self.begun[state] or begun
-        found = self.accepted[state] if state else None
-        if begun and (found is None or found[1] > 0 or begun.odds > found[0].odds):
-            return begun, 0
-        return found
+            if self.begun[state]:
+                found.append(self.begun[state])
+        if state and self.accepted[state]:
+            found.append(self.accepted[state])
+        return min(found, key=_rank, default=None)
 
 
 MEASURES = (
@@ -160,15 +174,18 @@ MEASURES = (
 class Reader:
     """Measures of a text for the model."""
 
-    def __init__(self, lexicon: list[Entry]) -> None:
+    def __init__(self, lexicon: Iterable[Entry], usual: Collection[str] = ()) -> None:
+        """``usual`` words are found without errors only."""
         self.matcher = Matcher(lexicon)
+        self.usual = frozenset(usual)
         self.known: dict[str, tuple[Entry, int] | None] = {}
 
     def _match(self, word: str) -> tuple[Entry, int] | None:
         if word not in self.known:
             if len(self.known) > 300_000:
                 self.known.clear()
-            self.known[word] = self.matcher.match(word)
+            found = self.matcher.match(word)
+            self.known[word] = None if found and found[1] and word in self.usual else found
         return self.known[word]
 
     def measures(self, text: str | None) -> list[float]:
@@ -254,22 +271,23 @@ def fold(id_column: str):
 def learned_lexicon(counts: pd.DataFrame, toxic: int, clean: int) -> list[Entry]:
     """Entries from (term, pos, neg) counts over ``toxic`` and ``clean`` training documents.
 
-    A stem that adds little to a longer stem or a word of the same documents is left out.
+    A stem that adds little to a longer stem or a word of the same documents is left out. What begins with
+    a stem stands together in the order of terms, and a word is in that of few stems.
     """
     odds = np.log((counts["pos"] + 0.5) / (toxic + 1)) - np.log((counts["neg"] + 0.5) / (clean + 1))
     chosen = counts.assign(odds=odds)[(odds >= LEAST_ODDS) & (counts["pos"] >= SUPPORT)]
-    rows = {t: (p, n, float(o)) for t, p, n, o in chosen[["term", "pos", "neg", "odds"]].itertuples(index=False)}
+    rows = {t: (p, float(o)) for t, p, o in chosen[["term", "pos", "odds"]].itertuples(index=False)}
+    ordered = sorted(rows)
     out = []
-    for term, (pos, neg, odd) in rows.items():
-        stem = term.endswith("*")
+    for term, (pos, odd) in rows.items():
+        body = term.removesuffix("*")
+        stem = body != term
         if stem:
-            body = term[:-1]
-            longer = [rows.get(t) for t in rows if t != term and t.startswith(body) and abs(rows[t][0] - pos) <= 0.1 * pos and rows[t][2] >= odd]
-            if longer:
+            begin = bisect.bisect_left(ordered, body)
+            longer = itertools.takewhile(lambda t: t.startswith(body), itertools.islice(ordered, begin, None))
+            if any(t != term and abs(rows[t][0] - pos) <= 0.1 * pos and rows[t][1] >= odd for t in longer):
                 continue
-            out.append(Entry(body, odd, pos / toxic, True))
-        else:
-            out.append(Entry(term, odd, pos / toxic))
+        out.append(Entry(body, odd, stem))
     return out
 
 
@@ -294,9 +312,43 @@ def fitted(measures: np.ndarray, toxic: np.ndarray, penalty: float = 1.0) -> np.
 @dataclass
 class Model:
     lexicon: list[Entry]
+    usual: list[str]
     weights: np.ndarray
 
 
+def term_counts(sample: DataFrame) -> DataFrame:
+    """(term, n00, n01, n10, n11): rows of ``training_set`` that hold a term, n<half><toxic>."""
+    names = [f"n{half}{toxic}" for half, toxic in KINDS]
+
+    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts: dict[str, list[int]] = {}
+            for text, toxic, half in zip(batch["text"], batch["toxic"], batch["half"], strict=True):
+                for term in candidate_terms(text):
+                    counts.setdefault(term, [0, 0, 0, 0])[2 * half + int(toxic)] += 1
+            yield pd.DataFrame([(term, *n) for term, n in counts.items()], columns=["term", *names])
+
+    schema = "term string, " + ", ".join(f"{name} long" for name in names)
+    return sample.mapInPandas(terms, schema).groupBy("term").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def usual_words(counts: DataFrame, lexicons: list[list[Entry]]) -> list[list[str]]:
+    """For each lexicon, in order of ``LEARNED_FROM``, words of clean documents that it finds with errors."""
+    sent = counts.sparkSession.sparkContext.broadcast(lexicons)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matchers = [Matcher(lexicon) for lexicon in sent.value]
+        for batch in batches:
+            for number, (matcher, halves) in enumerate(zip(matchers, LEARNED_FROM, strict=True)):
+                clean = batch["term"][sum(batch[f"n{half}0"] for half in halves) > 0]
+                found = [term for term in clean if (matcher.match(term) or (None, 0))[1]]
+                yield pd.DataFrame({"lexicon": np.full(len(found), number, np.int32), "word": np.array(found, object)})
+
+    words = counts.where(~F.col("term").endswith("*")).mapInPandas(near, "lexicon int, word string")
+    rows = words.orderBy("lexicon", "word").collect()  # bounded by the training sample
+    return [[row["word"] for row in rows if row["lexicon"] == number] for number in range(len(lexicons))]
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Lexicon and weights from a bounded training sample. Without labels every score is one half.
 
@@ -306,25 +358,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """
     spark = docs.sparkSession
     sample = stored(training_set(docs, labels))
-    kinds = [(half, toxic) for half in (0, 1) for toxic in (0, 1)]
-
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts: dict[str, list[int]] = {}
-            for text, toxic, half in zip(batch["text"], batch["toxic"], batch["half"], strict=True):
-                for term in candidate_terms(text):
-                    counts.setdefault(term, [0, 0, 0, 0])[2 * half + int(toxic)] += 1
-            rows = [(term, *n) for term, n in counts.items()]
-            yield pd.DataFrame(rows, columns=["term", *(f"n{h}{t}" for h, t in kinds)])
-
-    totals = dict.fromkeys(kinds, 0)
+    totals = dict.fromkeys(KINDS, 0)
     for row in sample.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect():
         totals[row["half"], row["toxic"]] = row["n"]
+    every = stored(term_counts(sample))
     counts = (
-        sample.mapInPandas(terms, "term string, " + ", ".join(f"n{h}{t} long" for h, t in kinds))
-        .groupBy("term")
-        .agg(*(F.sum(f"n{h}{t}").alias(f"n{h}{t}") for h, t in kinds))
-        .where(F.col("n01") + F.col("n11") >= SUPPORT)
+        every.where(F.col("n01") + F.col("n11") >= SUPPORT)
         .toPandas()  # bounded by the training sample
         .sort_values("term")
     )
@@ -339,17 +378,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         )
         return learned_lexicon(own, *(sum(totals[h, t] for h in halves) for t in (1, 0)))
 
-    sent = spark.sparkContext.broadcast([lexicon_of((1,)), lexicon_of((0,))])
+    lexicons = [lexicon_of(halves) for halves in LEARNED_FROM]
+    usual = usual_words(every, lexicons)
+    sent = spark.sparkContext.broadcast((lexicons[:2], usual[:2]))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        readers = [Reader(lexicon) for lexicon in sent.value]
+        readers = list(map(Reader, *sent.value))
         for batch in batches:
             found = [readers[h].measures(t) for t, h in zip(batch["text"], batch["half"], strict=True)]
             yield pd.DataFrame({"m": found, "toxic": batch["toxic"]})
 
     rows = sample.mapInPandas(measure, "m array<double>, toxic int").toPandas()
     measures = np.stack(rows["m"].to_list()) if len(rows) else np.zeros((0, len(MEASURES)))
-    return Model(lexicon_of((0, 1)), fitted(measures, rows["toxic"].to_numpy(float)))
+    return Model(lexicons[2], usual[2], fitted(measures, rows["toxic"].to_numpy(float)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text_column: str = "text") -> DataFrame:
@@ -367,7 +408,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text_column: str = "text") -> D
     def score(batch: pd.Series) -> pd.Series:
         model = sent.value
         if not made:
-            made.append(Reader(model.lexicon))
+            made.append(Reader(model.lexicon, model.usual))
         values = np.asarray([made[0].measures(t) for t in batch]).reshape(len(batch), len(MEASURES))
         return pd.Series(1 / (1 + np.exp(-np.clip(values @ model.weights, -30, 30))))
 
