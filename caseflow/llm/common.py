@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where a session has none, as in tests, a temporary folder is set and remembered.
+    Only where a local session has none, as in tests, a temporary folder is set and remembered. Executors on
+    other machines could not see such a folder, so a cluster that names none is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="caseflow-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import __spark_entry__
 import brute
 import corpus_pipeline
-from caseflow.llm import catalog, packing, quality_rules
+from caseflow.llm import catalog, common, packing, quality_rules
 from check import connect, difference
 from conftest import TABLES
 
@@ -76,6 +76,24 @@ def test_stages_keep_the_columns(spark, awkward):
         docs.count()
 
 
+def test_stages_of_an_empty_table(spark, empty):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, empty, TABLES)
+        assert docs.columns == empty.columns and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, TABLES).count() == 0
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://far:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        common.shared_folder(Session)
+    Session.conf = {"spark.checkpoint.dir": "hdfs://far/shared/"}
+    assert common.shared_folder(Session) == "hdfs://far/shared"
+
+
 def test_each_operator_has_one_query():
     names = [name for name in __spark_entry__.queries() if name.startswith("op")]
     assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 14))
