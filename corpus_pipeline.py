@@ -1,4 +1,7 @@
-"""A corpus pipeline: each stage takes documents and returns documents; the last packs them."""
+"""A corpus pipeline: each stage takes documents and returns documents; the last packs them.
+
+Further columns are carried by all stages but the last, whatever their names. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +14,45 @@ from caseflow.llm.common import stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality verdict is to keep."""
+    """Documents whose quality verdict is to keep.
+
+    Null and empty texts go, texts of any length are measured whole, repeated rows stay or go together, a
+    null id decides nothing.
+    """
     return quality_rules.kept_documents(docs)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates.
+
+    That of the least id stays, of ties and repeated rows one; documents without words all stay. A text of
+    any length gives its whole set of shingles.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an item of the benchmark."""
+    """Documents without an item of the benchmark.
+
+    Documents without text stay, repeated rows stay or go together; without items all stay.
+    """
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and what reveals it replaced in the text."""
+    """All documents, with personal data and what reveals it replaced in the text.
+
+    A null text stays null, every row stays, repeated rows are replaced alike; texts are read whole.
+    """
     return pii.sanitised(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequence and offset of every piece of every document."""
+    """The sequence and offset of every piece of every document.
+
+    A null or empty text is one end token, repeated rows are packed each, a null id stays null; only texts of
+    more than a sequence are cut.
+    """
     return packing.packed(docs)
 
 
