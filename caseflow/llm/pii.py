@@ -248,7 +248,9 @@ def rewritten(text: Column, spans_: Column) -> Column:
 def sanitised(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """``docs`` with the spans found replaced in the text; the other columns and a null text stay.
 
-    Only the rows with spans are joined with the texts.
+    Only the rows with spans are joined with the texts. An empty text stays empty, texts of any length are
+    read whole, of overlapping spans the first is replaced and the others up to their ends; repeated rows
+    are replaced alike, and an empty table gives no rows.
     """
     spans_found = found_personal_data(docs, text_column)
     marked = stored(
