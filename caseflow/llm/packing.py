@@ -34,6 +34,18 @@ LARGE_SHARE, GROUPS = 1 / 8, 96
 CACHED_WORDS = 600_000
 
 
+class _Known(dict):
+    """Ids by word. A word that is not there is noted in ``asked`` and has no ids for now."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.asked: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.asked.append(word)
+        return b""
+
+
 class WordTokenizer:
     """Ids of a tokenizer whose pieces never cross white space, kept by word.
 
@@ -50,7 +62,7 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
-        self._known: dict[str, bytes] = {}
+        self._known = _Known()
         self._is_end = np.zeros(self._tokenizer.get_vocab_size(), bool)
         for token, number in self._tokenizer.get_vocab().items():
             self._is_end[number] = token.endswith("</w>")
@@ -108,15 +120,26 @@ class WordTokenizer:
         return text.split()
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text, end token excluded."""
-        if len(self._known) > CACHED_WORDS:
-            self._known.clear()
-        split = [self._words(text) for text in texts]
+        """Little-endian 32-bit ids of each text, end token excluded.
+
+        Each word is looked up once; only texts with a word that was not known are looked up again.
+        """
         known = self._known
-        if missing := list({word: None for words in split for word in words if word not in known}):
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        get, out, again = known.__getitem__, [], []
+        for at, text in enumerate(texts):
+            words, noted = self._words(text), len(known.asked)
+            out.append(b"".join(map(get, words)))
+            if len(known.asked) > noted:
+                again.append((at, words))
+        if again:
+            missing = list(dict.fromkeys(known.asked))
+            known.asked.clear()
             self._learn(missing)
-        for words in split:
-            yield b"".join([known[word] for word in words])
+            for at, words in again:
+                out[at] = b"".join(map(get, words))
+        return iter(out)
 
 
 @cache
