@@ -3,26 +3,31 @@
 Information content decides what else must go. An entity is a value the base patterns find, such as one
 e-mail address; its information content is -log p over the documents of the corpus. A term in a document
 that holds it reveals it as far as their pointwise mutual information reaches that content: PMI(t; c) = IC(c) means
-that the term occurs with this entity only. Terms with PMI >= IC / ALPHA are added: removed where they
-reveal almost all of it, else generalised, wherever they stand in a document that holds the entity. Counts cover every document. Every entity is judged, however
-rare: p(c | t) enters with its lower bound at even odds, so that what few distinct texts say counts less,
-and copies of a text say nothing new.
+that the term occurs with this entity only. Terms with PMI >= IC / ALPHA are added, wherever they stand in
+a document that holds the entity. Counts cover every document. Every entity is judged, however rare:
+p(c | t) enters with its lower bound at even odds, so that what few distinct texts say counts less, and
+copies of a text say nothing new.
+
+An added term is generalised where the corpus allows it: its classes are the words that share its first
+letters, in LEVELS from narrow to wide, and the narrowest class is taken that stands in so many documents that it
+could not reveal any entity of the document even if all documents of that entity held it. A term
+without such a class is removed.
 
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import digest, stored, table, texts
-from caseflow.llm.spans import SPAN, found, listed, of_kind, spans
+from caseflow.llm.spans import SPAN, found, greatest_before, let, listed, of_kind, spans
 
 #: Disclosure threshold: a term may carry at most 1 / ALPHA of an entity's information content.
 ALPHA = 1.1
-#: Share of the content from which on a term is removed rather than generalised.
-REMOVED = 0.98
+#: How many first letters the classes of a term keep; a class holds longer words only.
+LEVELS = (2, 3, 4, 5, 6, 8, 12)
 
 # Each pattern is the plain one written so that it needs no backtracking: a match starts where its first
 # run starts, or where the last match ended.
@@ -117,23 +122,57 @@ def circles(held: DataFrame) -> DataFrame:
 
 
 def occurrences(held: DataFrame) -> DataFrame:
-    """(key, term, start, end): every whole word of the documents, but for those inside a base span."""
+    """(key, term, start, end): every whole word of the documents."""
     text = F.col("text")
     places = spans(text, TERM, "term", 0, lambda m: F.transform(m, lambda _: F.lit(True)))
-    words = held.select(
-        "key", "base", F.explode(F.arrays_zip(places.alias("at"), found(text, TERM).alias("m"))).alias("w")
+    words = held.select("key", F.explode(F.arrays_zip(places.alias("at"), found(text, TERM).alias("m"))).alias("w"))
+    return words.select(
+        "key", F.lower("w.m").alias("term"), F.col("w.at.start").alias("start"), F.col("w.at.end").alias("end")
+    )
+
+
+def apart(words: DataFrame, held: DataFrame) -> DataFrame:
+    """The ``words`` (key, start, end, ...) that share no character with a base span of their document.
+
+    A merge of both by place: a base span that starts before or with the word ends before it, and the next one
+    starts after it.
+    """
+    own = words.columns
+    base = held.join(words.select("key").distinct(), "key", "left_semi").select("key", F.explode("base").alias("b"))
+    both = words.withColumn("base", F.lit(False)).unionByName(
+        base.select("key", "b.start", "b.end", F.lit(True).alias("base")), allowMissingColumns=True
     )
-    start, end = F.col("w.at.start"), F.col("w.at.end")
-    inside = F.exists("base", lambda b: (b["start"] < end) & (start < b["end"]))
-    return words.where(~inside).select(
-        "key", F.lower("w.m").alias("term"), start.alias("start"), end.alias("end")
+    place = Window.partitionBy("key").orderBy("start", F.col("base").desc(), "end")
+    earlier = place.rowsBetween(Window.unboundedPreceding, -1)
+    later = place.rowsBetween(1, Window.unboundedFollowing)
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(earlier)
+    next_start = F.first(F.when(F.col("base"), F.col("start")), ignorenulls=True).over(later)
+    return (
+        both.withColumn("reach", F.coalesce(reach, F.lit(0)))
+        .withColumn("next", F.coalesce(next_start, F.col("end")))
+        .where(~F.col("base") & (F.col("reach") <= F.col("start")) & (F.col("next") >= F.col("end")))
+        .select(*own)
     )
 
 
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.transform(found(text, TERM), F.lower))
+
+
+def wider(words: Column, letters: int) -> Column:
+    """The classes of ``letters`` first letters of an array of words; no word ends in an asterisk."""
+    longer = F.filter(words, lambda w: F.length(w) > letters)
+    return F.array_distinct(F.transform(longer, lambda w: F.concat(F.substring(w, 1, letters), F.lit("*"))))
+
+
 def document_counts(rows: DataFrame) -> DataFrame:
-    """(term, n): in how many documents each word occurs."""
-    words = F.array_distinct(F.transform(found(F.col("text"), TERM), F.lower))
-    return rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n): in how many documents each word, and each class of words, occurs."""
+
+    def names(words: Column) -> Column:
+        return F.concat(words, *[wider(words, letters) for letters in LEVELS])
+
+    every = let(distinct_words(F.col("text")), names)
+    return rows.select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def likely(both: Column, n: Column, texts_: Column) -> Column:
@@ -145,28 +184,27 @@ def likely(both: Column, n: Column, texts_: Column) -> Column:
     return (texts_ - 1 / 3) / (texts_ * n / both + 1 / 3)
 
 
-def disclosing(rows: DataFrame, held: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(key, term, share): for each document the words that carry over 1 / alpha of the content of an entity in it.
+def most(n_entity: Column, total: int, alpha: float) -> Column:
+    """In how many documents a term may occur that reveals an entity of ``n_entity``, if all of them hold it."""
+    return n_entity * F.pow(float(total) / n_entity, F.lit(1 - 1 / alpha)) * (1 + 1e-9)
 
-    ``share`` is PMI(t; c) / IC(c) = 1 + log p(c | t) / IC(c) as observed, at most 1; the threshold holds for
-    the share with the lower bound of p(c | t). Both counts are of documents, wherever the word stands. A
-    word of so many documents that it could not pass if all those of the entity had it is left out first.
-    """
-    total = float(max(2, rows.count()))
-    around = stored(circles(held))
 
-    def most(n_entity: Column) -> Column:
-        return n_entity * F.pow(total / n_entity, F.lit(1 - 1 / alpha)) * (1 + 1e-9)
+def disclosing(counts: DataFrame, total: int, held: DataFrame, around: DataFrame, alpha: float) -> DataFrame:
+    """(key, term): for each document the words that carry over 1 / alpha of the content of an entity in it.
 
+    The share carried is PMI(t; c) / IC(c) = 1 + log p(c | t) / IC(c), with the lower bound of p(c | t). Both
+    counts are of documents, wherever the word stands. A word of so many documents that it could not pass
+    if all those of the entity had it is left out first.
+    """
     largest = around.agg(F.max("n_entity")).first()[0] or 0
-    counts = document_counts(rows).where(F.col("n") <= most(F.lit(float(max(1, largest)))))
-    words = held.select(
-        "key", F.explode(F.array_distinct(F.transform(found(F.col("text"), TERM), F.lower))).alias("term")
-    )
+    rare = counts.where(F.col("n") <= most(F.lit(float(max(1, largest))), total, alpha))
+    words = held.select("key", F.explode(distinct_words(F.col("text"))).alias("term"))
     met = stored(
-        words.join(counts, "term").join(around, "key").where(F.col("n") <= most(F.col("n_entity")))
+        words.join(rare, "term")
+        .join(around, "key")
+        .where(F.col("n") <= most(F.col("n_entity"), total, alpha))
     )
-    content = F.log(F.lit(total) / F.col("n_entity"))
+    content = F.log(F.lit(float(total)) / F.col("n_entity"))
     bound = 1 + F.log(likely(F.col("both"), F.col("n"), F.col("texts"))) / content
     revealed = (
         met.groupBy("circle", "term", "n", "n_entity", "text_hash")
@@ -174,74 +212,96 @@ def disclosing(rows: DataFrame, held: DataFrame, alpha: float = ALPHA) -> DataFr
         .groupBy("circle", "term", "n", "n_entity")
         .agg(F.sum("both").alias("both"), F.count("*").alias("texts"))
         .where((content > 0) & (bound >= 1 / alpha))
-        .select("circle", "term", (1 + F.log(F.col("both") / F.col("n")) / content).alias("share"))
+        .select("circle", "term")
     )
-    return (
-        met.select("key", "circle", "term")
-        .join(revealed, ["circle", "term"])
-        .groupBy("key", "term")
-        .agg(F.max("share").alias("share"))
+    return met.select("key", "circle", "term").join(revealed, ["circle", "term"]).select("key", "term").distinct()
+
+
+def generalised(
+    terms: DataFrame, counts: DataFrame, total: int, around: DataFrame, alpha: float
+) -> DataFrame:
+    """(key, term, label): ``terms`` with the narrowest class that is safe in their document, else null.
+
+    A class is safe if it stands in more documents than a term that reveals the most frequent entity of the
+    document could, which holds for the rarer ones all the more. It is chosen once for each term and
+    frequency, in a table stored before it meets the documents.
+    """
+    needs = around.groupBy("key").agg(F.max("n_entity").alias("need"))
+    asked = stored(terms.join(needs, "key"))
+    names = F.concat(*[wider(F.array("term"), letters) for letters in LEVELS])
+    chosen = stored(
+        asked.select("term", "need")
+        .distinct()
+        .withColumn("label", F.explode(names))
+        .join(counts.select(F.col("term").alias("label"), "n"), "label")
+        .where(F.col("n") > most(F.col("need"), total, alpha))
+        .groupBy("term", "need")
+        .agg(F.max_by("label", F.length("label")).alias("label"))
     )
+    return asked.join(chosen, ["term", "need"], "left").select("key", "term", "label")
+
 
+#: What stands for a base span in a sanitised text; a removed term leaves nothing, a generalised one its class.
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+LABELLED = SPAN.replace("kind:string", "kind:string,label:string")
 
-def found_personal_data(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """(doc_id, key, base, added, spans) for each document, arrays of spans.
 
-    ``key`` is a hash of id and text. A null or empty text has no spans. Repeated rows get the same spans
-    each; a null id stays null; an empty table gives no rows; further columns are ignored.
+def found_personal_data(docs: DataFrame, text_column: str = "text", alpha: float = ALPHA) -> DataFrame:
+    """(doc_id, key, base, added, spans, labels) for each document: arrays of spans, and what stands for each of ``spans``.
+
+    ``key`` is a hash of id and text. A null or empty text has no spans, a text of any length is read whole.
+    Repeated rows get the same spans each; a null id stays null; an empty table gives no rows; further
+    columns are ignored.
     """
     rows = texts(docs, text_column=text_column).withColumn("key", F.xxhash64("doc_id", "text"))
     found_rows = stored(mentions(rows))
     held = stored(holders(found_rows))
-    kind = F.when(F.col("share") >= REMOVED, "term_removed").otherwise("term_generalised")
-    revealed = stored(disclosing(rows, held))
+    around = stored(circles(held))
+    total, counts = max(2, rows.count()), stored(document_counts(rows))
+    terms = disclosing(counts, total, held, around, alpha)
+    revealed = stored(generalised(terms, counts, total, around, alpha))
+    kind = F.when(F.col("label").isNull(), "term_removed").otherwise("term_generalised")
     rank = F.create_map(*[F.lit(x) for pair in TERM_RANKS.items() for x in pair])
+    marked = occurrences(held.join(revealed.select("key").distinct(), "key", "left_semi")).join(
+        revealed, ["key", "term"]
+    )
     added = (
-        occurrences(held.join(revealed.select("key").distinct(), "key", "left_semi"))
-        .join(revealed, ["key", "term"])
+        apart(stored(marked), held)
         .withColumn("kind", kind)
-        .select("key", F.struct("start", rank[F.col("kind")].alias("rank"), "end", "kind").alias("span"))
+        .withColumn("rank", rank[F.col("kind")])
+        .select("key", F.struct("start", "rank", "end", "kind", F.coalesce("label", F.lit("")).alias("label")).alias("span"))
         .groupBy("key")
-        .agg(F.array_sort(F.collect_list("span")).cast(SPAN).alias("added"))
+        .agg(F.array_sort(F.collect_list("span")).cast(LABELLED).alias("added"))
     )
+    label = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    named = F.transform("base", lambda s: s.withField("label", label[s["kind"]])).cast(LABELLED)
+    every = F.array_sort(F.concat(named, F.coalesce("added", F.array().cast(LABELLED))))
     return (
         found_rows.select("doc_id", "key", "base")
         .join(added, "key", "left")
-        .withColumn("added", F.coalesce("added", F.array().cast(SPAN)))
-        .withColumn("spans", F.array_sort(F.concat("base", "added")))
+        .withColumn("every", every)
+        .select(
+            "doc_id",
+            "key",
+            "base",
+            F.transform(F.coalesce("added", F.array().cast(LABELLED)), lambda s: s.dropFields("label")).alias("added"),
+            F.transform("every", lambda s: s.dropFields("label")).cast(SPAN).alias("spans"),
+            F.transform("every", lambda s: s["label"]).alias("labels"),
+        )
     )
 
 
-#: What stands for a span in a sanitised text; a removed term leaves nothing.
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term_removed": "", "term_generalised": "[WORD]"}
+def rewritten(text: Column, spans_: Column, labels: Column) -> Column:
+    """``text`` with sorted spans replaced by their labels; a span that starts inside an earlier one goes with it."""
 
+    def piece(span: Column, before: Column, label: Column) -> Column:
+        gap = F.substring(text, before.cast("int") + 1, (span["start"] - before).cast("int"))
+        return F.when(span["start"] >= before, F.concat(gap, label)).otherwise(F.lit(""))
 
-def rewritten(text: Column, spans_: Column) -> Column:
-    """``text`` with sorted spans replaced; a span that starts inside an earlier one goes with it."""
-    reach = F.transform(
-        spans_,
-        lambda s, i: F.struct(
-            s.alias("span"),
-            F.coalesce(
-                F.array_max(F.transform(F.slice(spans_, F.lit(1), i), lambda p: p["end"])), F.lit(0)
-            ).alias("before"),
-        ),
-    )
-    label = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    pieces = F.transform(
-        reach,
-        lambda r: F.when(
-            r["span"]["start"] >= r["before"],
-            F.concat(
-                F.substring(
-                    text, r["before"].cast("int") + 1, (r["span"]["start"] - r["before"]).cast("int")
-                ),
-                label[r["span"]["kind"]],
-            ),
-        ).otherwise(F.lit("")),
-    )
-    last = F.array_max(F.transform(spans_, lambda s: s["end"])).cast("int")
-    rest = F.substring(text, last + 1, F.length(text))
+    ends = F.transform(spans_, lambda s: s["end"])
+    steps = F.arrays_zip(spans_.alias("span"), greatest_before(ends).alias("before"), labels.alias("label"))
+    pieces = F.transform(steps, lambda r: piece(r["span"], r["before"], r["label"]))
+    rest = F.substring(text, F.array_max(ends).cast("int") + 1, F.length(text))
     return F.when(F.size(spans_) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
 
 
@@ -254,7 +314,7 @@ def sanitised(docs: DataFrame, text_column: str = "text", id_column: str = "doc_
     """
     spans_found = found_personal_data(docs, text_column)
     marked = stored(
-        spans_found.where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
+        spans_found.where(F.size("spans") > 0).select("key", "spans", "labels").dropDuplicates(["key"])
     )
     carried = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
@@ -263,7 +323,7 @@ def sanitised(docs: DataFrame, text_column: str = "text", id_column: str = "doc_
         ).alias("key"),
     )
     text = F.col(f"row.`{text_column}`")
-    new = F.when(F.col("spans").isNull(), text).otherwise(rewritten(text, F.col("spans")))
+    new = F.when(F.col("spans").isNull(), text).otherwise(rewritten(text, F.col("spans"), F.col("labels")))
     joined = carried.join(marked, "key", "left")
     return joined.select(
         *[

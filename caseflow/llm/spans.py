@@ -25,34 +25,49 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def _starts(steps: Column) -> Column:
-    """Sum of the elements before each element: of the chunks before its own, and within its own."""
+def _before(values: Column, fold: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """For each element ``fold`` of those before it: of the chunks before its own, joined with that within its own."""
 
     def chunk(i: Column) -> Column:
         return F.floor(i / CHUNK).cast("int")
 
-    def sums(own: Column) -> Column:
+    def folded(own: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(0), chunk(F.size(own) - 1)),
-            lambda c: _total(F.slice(own, c * CHUNK + 1, F.lit(CHUNK))),
+            lambda c: fold(F.slice(own, c * CHUNK + 1, F.lit(CHUNK))),
         )
 
-    def before(totals: Column) -> Column:
-        return F.transform(totals, lambda _, c: _total(F.slice(totals, F.lit(1), c)))
+    def before(chunks: Column) -> Column:
+        return F.transform(chunks, lambda _, c: fold(F.slice(chunks, F.lit(1), c)))
 
     return let(
-        steps,
+        values,
         lambda own: let(
-            let(sums(own), before),
+            let(folded(own), before),
             lambda firsts: F.transform(
                 own,
-                lambda _, i: F.get(firsts, chunk(i))
-                + _total(F.slice(own, chunk(i) * CHUNK + 1, i % CHUNK)),
+                lambda _, i: join(
+                    F.get(firsts, chunk(i)), fold(F.slice(own, chunk(i) * CHUNK + 1, i % CHUNK))
+                ),
             ),
         ),
     )
 
 
+def _starts(steps: Column) -> Column:
+    """Sum of the elements before each element."""
+    return _before(steps, _total, lambda a, b: a + b)
+
+
+def greatest_before(values: Column) -> Column:
+    """The greatest of the elements before each element, at least 0."""
+
+    def fold(some: Column) -> Column:
+        return F.coalesce(F.array_max(some), F.lit(0).cast("long"))
+
+    return _before(values, fold, F.greatest)
+
+
 def found(text: Column, pattern: str) -> Column:
     """All matches, leftmost and not overlapping."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+
+import regex
 
 SECRETS = [
     (
@@ -139,3 +142,52 @@ def contained(text, items):
 
 def sha(text):
     return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+
+
+def sanitised(pii, rows, alpha):
+    """Listed spans and new text of each row (doc_id, text), by counting documents in plain Python."""
+    pattern = regex.compile(pii.TERM)
+    rows = [(doc_id, text or "") for doc_id, text in rows]
+    total = max(2, len(rows))
+    base = [spans(PERSONAL, text) for _, text in rows]
+    held = [{(kind, text[a:b]) for a, _, b, kind in own} for (_, text), own in zip(rows, base, strict=True)]
+    words_of = [{m[0].lower() for m in pattern.finditer(text)} for _, text in rows]
+    classes_of = [
+        {w[:n] + "*" for w in own for n in pii.LEVELS if len(w) > n} for own in words_of
+    ]
+    n = Counter(w for own in words_of for w in own) + Counter(c for own in classes_of for c in own)
+    n_entity = Counter(e for own in held for e in own)
+    together, copies = Counter(), defaultdict(set)
+    for (_, text), own, entities in zip(rows, words_of, held, strict=True):
+        for e in entities:
+            for w in own:
+                together[e, w] += 1
+                copies[e, w].add(text)
+
+    def reveals(entity, word):
+        content = math.log(total / n_entity[entity])
+        k = len(copies[entity, word])
+        p = (k - 1 / 3) / (k * n[word] / together[entity, word] + 1 / 3)
+        return content > 0 and 1 + math.log(p) / content >= 1 / alpha
+
+    out = []
+    for (_, text), own, entities in zip(rows, base, held, strict=True):
+        added, label = [], {}
+        for m in pattern.finditer(text):
+            if any(a < m.end() and m.start() < b for a, _, b, _ in own):
+                continue
+            word = m[0].lower()
+            if not any(reveals(e, word) for e in entities):
+                continue
+            most = max(n_entity[e] ** (1 / alpha) * total ** (1 - 1 / alpha) for e in entities)
+            safe = [word[:k] + "*" for k in pii.LEVELS if k < len(word) and n[word[:k] + "*"] > most]
+            kind = "term_generalised" if safe else "term_removed"
+            added.append((m.start(), pii.TERM_RANKS[kind], m.end(), kind))
+            label[m.start()] = max(safe, key=len, default="")
+        new, at = [], 0
+        for start, _, end, kind in sorted(own + added):
+            if start >= at:
+                new += [text[at:start], label[start] if kind in pii.TERM_RANKS else f"[{kind.upper()}]"]
+            at = max(at, end)
+        out.append((listed(sorted(own + added)), "".join(new) + text[at:]))
+    return out

@@ -1,0 +1,155 @@
+"""Every registered query over a whole small table: all contract columns and types, and their values by brute force."""
+
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+import __spark_entry__
+import brute
+from caseflow.llm import packing, pii, toxicity
+from conftest import TABLES
+
+CONTRACTS = {
+    "op1": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op2": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op3": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op4": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op5": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op6": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op7": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint,"
+    " n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op8": "",
+    "op9": "doc_id bigint",
+    "op10": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint,"
+    " saved_tokens bigint, ends_sha256 string",
+    "op12": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double,"
+    " identity_error double",
+    "op13": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "pipeline": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+}
+NAMES = {
+    name.split("_")[0]: name
+    for name in __spark_entry__.queries()
+    if name == "pipeline" or (name.startswith("op") and name[2].isdigit())
+}
+
+
+def spans_of(kinds, names, rows):
+    out = {}
+    for doc_id, text in rows:
+        own = brute.spans(kinds, text)
+        times = Counter(kind for *_, kind in own)
+        out[doc_id] = (*[times[name] for name in names], brute.sha(brute.listed(own)))
+    return out
+
+
+def op1(found, rows):
+    names = ["assign", "access", "hex"]
+    got = {r["doc_id"]: (*[r[f"n_{n}"] for n in names], r["base_sha256"]) for r in found}
+    assert got == spans_of(brute.SECRETS, names, rows)
+    for row in found:
+        kinds = Counter(part.split(":")[0] for part in row["spans"].split(","))
+        assert all(kinds[n] == row[f"n_{n}"] for n in names)
+
+
+def op2(found, rows):
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    wanted = Counter()
+    for doc_id, text in rows:
+        ids = np.asarray([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            own = ids[start : start + 4096]
+            wanted[doc_id, piece, start, len(own), zlib.crc32(own.tobytes())] += 1
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert Counter(tuple(r[c] for c in columns) for r in found) == wanted
+    sequences = defaultdict(list)
+    for row in found:
+        sequences[row["sequence_id"]].append((row["offset"], row["length"]))
+    for own in sequences.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 4096
+    least = -(-sum(r["length"] for r in found) // 4096)
+    assert len(sequences) <= 1.02 * least + 2
+
+
+def op3(found, rows):
+    wanted = Counter(
+        (doc_id, len((text or "").encode()), n, spans, brute.sha(kept))
+        for (doc_id, text), (n, spans, kept) in zip(rows, brute.removed([t for _, t in rows]), strict=True)
+    )
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in found) == wanted
+
+
+def op4(found, rows):
+    root, least = brute.components([text for _, text in rows]), {}
+    for (doc_id, _), at in zip(rows, root, strict=True):
+        least[at] = min(least.get(at, doc_id), doc_id)
+    wanted = {
+        doc_id: (len(brute.shingles(text)), least[at]) for (doc_id, text), at in zip(rows, root, strict=True)
+    }
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == wanted
+
+
+def op5(found, rows):
+    names = ["email", "ip", "card", "phone"]
+    got = {r["doc_id"]: (*[r[f"n_{n}"] for n in names], r["base_sha256"]) for r in found}
+    assert got == spans_of(brute.PERSONAL, names, rows)
+    every = [spans for spans, _ in brute.sanitised(pii, rows, pii.ALPHA)]
+    assert {r["doc_id"]: r["spans"] for r in found} == {d: s for (d, _), s in zip(rows, every, strict=True)}
+
+
+def op6(found, rows):
+    wanted = {d: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in found} == wanted
+    slots = defaultdict(list)
+    for row in found:
+        assert row["law"] == "rows" and row["grown_shard"] is None
+        slots[row["shard"]].append(row["slot"])
+    counts = [len(slots[shard]) for shard in range(40)]
+    assert sum(counts) == len(rows) and max(counts) - min(counts) <= 1
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values())
+
+
+def op7(found, rows):
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert {r["doc_id"]: tuple(r[c] for c in columns) for r in found} == {d: brute.measures(t) for d, t in rows}
+    for row in found:
+        failed = row["n_words"] < 50 or 100 * row["n_repeat_words"] > 50 * row["n_words"]
+        assert row["base_failed"] == failed and not (failed and row["kept"])
+
+
+def op9(found, rows):
+    assert Counter(r["doc_id"] for r in found) == Counter(d for d, _ in rows)
+
+
+def op10(found, rows):
+    assert Counter(r["doc_id"] for r in found) == Counter(d for d, _ in rows)
+    for row in found:
+        assert row["held_out"] == (zlib.crc32(str(row["doc_id"]).encode()) % 4 == 2)
+        assert 0 <= row["score"] <= 1 and row["predicted"] == (row["score"] >= toxicity.THRESHOLD)
+
+
+CHECKS = {f.__name__: f for f in (op1, op2, op3, op4, op5, op6, op7, op9, op10)}
+
+
+def test_every_query_has_a_contract():
+    assert set(NAMES) == set(CONTRACTS)
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
+def test_contract(spark, document_rows, name):
+    frame = __spark_entry__.queries()[NAMES[name]](spark, TABLES)
+    types = dict(frame.dtypes)
+    for column in filter(None, CONTRACTS[name].split(", ")):
+        assert types[column.split()[0]] == column.split()[1], column
+    found = frame.collect()
+    assert found
+    if name in CHECKS:
+        CHECKS[name](found, document_rows)

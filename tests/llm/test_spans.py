@@ -205,6 +205,89 @@ def test_words_are_whole(spark):
     assert rows[0][0].startswith("term_removed:0:8,email:")
 
 
+def planted(chance, size):
+    """Rows (doc_id, text): common words, entities of one to forty documents, and words beside only them."""
+    common = [f"{a}{b}" for a in ("some", "other", "plain", "thing") for b in ("", "one", "two", "where", "ness")]
+    people = [
+        (f"{'qxzvk'[at % 5]}{chance.choice('aeiou')}lmor{chr(97 + at % 26)}{chr(97 + at // 26)}", f"p{at}@private.example.org")
+        for at in range(40)
+    ]
+    rows = []
+    for at in range(size):
+        text = [chance.choice(common) for _ in range(chance.randrange(0, 25))]
+        if chance.random() < 0.3:
+            name, mail = people[min(int(chance.expovariate(0.1)), 39)]
+            text += [mail]
+            if chance.random() < 0.9:
+                text += [name.title()]
+            if chance.random() < 0.3:
+                text += ["someb" + name, f"+1 555 0100 {chance.randrange(100, 999)}"]
+            chance.shuffle(text)
+        rows.append((at, chance.choice([" ", ", "]).join(text)))
+    return rows + [(size, None), (size + 1, rows[3][1]), (0, rows[0][1])], {name for name, _ in people}
+
+
+def test_added_terms_equal_counts_in_plain_python(spark):
+    rows, _ = planted(random.Random(3), 900)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for alpha in (1.1, 1.6):
+        found = pii.found_personal_data(frame, alpha=alpha)
+        got = found.select("doc_id", listed(F.col("spans")), F.size("spans") == F.size("labels")).collect()
+        wanted = brute.sanitised(pii, rows, alpha)
+        assert Counter(map(tuple, got)) == Counter(
+            (doc_id, spans_, True) for (doc_id, _), (spans_, _) in zip(rows, wanted, strict=True)
+        )
+        if alpha == pii.ALPHA:
+            new = Counter(map(tuple, pii.sanitised(frame).collect()))
+            assert new == Counter(
+                (doc_id, None if text is None else clean)
+                for (doc_id, text), (_, clean) in zip(rows, wanted, strict=True)
+            )
+        kinds = Counter(part.split(":")[0] for spans_, _ in wanted for part in spans_.split(","))
+        assert kinds["term_generalised"] > 20 and kinds["term_removed"] > 20, kinds
+
+
+def test_planted_names_go_and_common_words_stay(spark):
+    """Names of entities with enough documents to be sure of are found; no common word is ever taken."""
+    rows, names = planted(random.Random(4), 3000)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = [[w.strip(",") for w in (text or "").lower().split()] for _, text in rows]
+    new = {(r["doc_id"], r["old"]): r["text"] for r in pii.sanitised(frame.withColumn("old", F.col("text"))).collect()}
+    left = [[w.strip(",") for w in (new[row] or "").lower().split()] for row in rows]
+    held = sum(w in names for own in before for w in own)
+    kept = sum(w in names for own in left for w in own)
+    common = {w for own in before for w in own if w.isalpha() and w not in names and w[5:] not in names}
+    lost = sum(own.count(w) - after.count(w) for own, after in zip(before, left, strict=True) for w in common)
+    assert held > 500 and lost == 0
+    assert kept < 0.1 * held, (kept, held)
+
+
+def test_a_term_becomes_its_narrowest_safe_class(spark):
+    told = [f"Zebulon wrote from z@private.example.org {at}" for at in range(4)]
+    near = [f"zebularium stands here {at}" for at in range(9)]
+    wide = [f"zebra and other words {at}" for at in range(50)]
+    frame = spark.createDataFrame(list(enumerate(told + near + wide)), "doc_id long, text string")
+    new = [row["text"] for row in pii.sanitised(frame).orderBy("doc_id").collect()]
+    assert new[:4] == [f"zebul*   [EMAIL] {at}" for at in range(4)]
+    assert new[4:] == near + wide
+
+
+def test_terms_beside_and_inside_base_spans(spark):
+    told = [f"Zebulon.x Zebulon@private.example.org éZebulon@private.example.org Zebulon, {at}" for at in range(4)]
+    other = [f"some other words {at}" for at in range(60)]
+    rows = list(enumerate(told + other))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.found_personal_data(frame).orderBy("doc_id").select(listed(F.col("spans"))).collect()
+    assert [row[0] for row in found] == [spans_ for spans_, _ in brute.sanitised(pii, rows, pii.ALPHA)]
+    assert found[0][0].count("term_removed") == 2
+
+
+def test_many_spans_in_one_document(spark):
+    text = " ".join(f"a{at}@h.example.org word" for at in range(2_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.sanitised(frame).first()["text"] == " ".join(["[EMAIL] word"] * 2_000)
+
+
 def test_sanitised_keeps_rows_and_columns(awkward):
     new = pii.sanitised(awkward)
     assert new.columns == awkward.columns and new.count() == awkward.count()
