@@ -93,6 +93,9 @@ class WordTokenizer:
         """Make all ``words`` known."""
         known, later, stems, plain = self._known, [], {}, {}
         for word in words:
+            if word.isalpha() and word.islower() and word == word.lower():
+                stems[word] = None
+                continue
             stem = word.rstrip(self._STOPS)
             # A run of stops after letters is a piece of its own. Capital sigma lowers by its context.
             if stem.isalpha() and "Σ" not in stem:
